@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.broadcast import dim_broadcast, sized_broadcast
+from quarry.functions.broadcast import dim_broadcast, fits
 from quarry.functions.text import tokenize
 
 K1 = 1.5
@@ -113,9 +113,11 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
     explode of positions, joined by equality.
     """
     qt = question_terms(questions, text_col)
-    qidf = sized_broadcast(qt, max_broadcast_rows).join(index.idf, ["domain", "term"])
+    small = fits(qt, max_broadcast_rows)
+    qidf = (F.broadcast(qt) if small else qt).join(index.idf, ["domain", "term"])
+    # idf is unique per (domain, term), so |qidf| <= |qt|: the same check bounds it.
     st = dim_broadcast(index.stats.join(index.eps, "domain", "left"))
-    contrib = (sized_broadcast(qidf, max_broadcast_rows).join(index.postings, ["domain", "term"])
+    contrib = ((F.broadcast(qidf) if small else qidf).join(index.postings, ["domain", "term"])
                .join(st, "domain")
                .select("question_id", "domain", "chunk_pos",
                        (F.col("qtf") * F.col("idf") * F.col("f") * F.lit(K1 + 1.0)

@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators import bm25
+from quarry.operators import bm25, fusion, vector
+from quarry.plans import search
 from quarry.sources.testdata import TestTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +92,177 @@ def q_bm25_topk(spark, sf_dir):
     t = TestTables(spark, sf_dir)
     idx = bm25.build_index(t.corpus())
     return bm25.bm25_topk(t.questions(), idx)
+
+
+# ---------------------------------------------------------------- vectors
+def _hash_vec_cte(name: str, src: str, keys: str, text: str) -> str:
+    """DuckDB form of the signed md5 feature hashing into 64 dims, L2-normalised."""
+    k = [c.strip() for c in keys.split(",")]
+    on = " AND ".join(f"s.{c} = b.{c}" for c in k)
+    on2 = " AND ".join(f"n.{c} = b.{c}" for c in k)
+    bk = ", ".join(f"b.{c}" for c in k)
+    return f"""
+{name}_tok AS (
+  SELECT {keys}, unnest(list_filter(string_split_regex(lower({text}), {WS_SQL}), lambda x: x <> '')) AS tok
+  FROM {src}),
+{name}_sum AS (
+  SELECT {keys}, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS bk,
+         CAST(sum(CASE WHEN CAST(('0x' || substr(md5(tok), 9, 1)) AS INTEGER) < 8 THEN 1 ELSE -1 END) AS DOUBLE) AS v
+  FROM {name}_tok GROUP BY ALL),
+{name}_nrm AS (SELECT {keys}, sqrt(sum(v * v)) AS nrm FROM {name}_sum GROUP BY ALL),
+{name} AS (
+  SELECT {bk}, list(CASE WHEN n.nrm > 0 THEN coalesce(s.v, 0.0) / n.nrm ELSE 0.0 END ORDER BY r.i) AS vec
+  FROM (SELECT DISTINCT {keys} FROM {src}) b CROSS JOIN range(64) r(i)
+  LEFT JOIN {name}_sum s ON {on} AND s.bk = r.i
+  LEFT JOIN {name}_nrm n ON {on2}
+  GROUP BY {bk})"""
+
+
+SQ_L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+VEC_CTE = (BM25_CTE + ","
+           + _hash_vec_cte("cvec", "corpus", "domain, chunk_pos", "content") + ","
+           + _hash_vec_cte("qvec", "questions", "question_id, domain", "question") + f""",
+vdist AS (
+  SELECT q.question_id, q.domain, c.chunk_pos, round({SQ_L2.format(a='q.vec', b='c.vec')}, 6) AS distance
+  FROM qvec q JOIN cvec c USING (domain)),
+vtop AS (
+  SELECT question_id, domain, CAST(rn - 1 AS INTEGER) AS rank, chunk_pos, distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id, domain ORDER BY distance, chunk_pos) AS rn
+    FROM vdist) WHERE rn <= 10)""")
+
+FUSION_CTE = VEC_CTE + """,
+arms AS (
+  SELECT question_id, domain, chunk_pos, rank, distance, 0 AS arm FROM vtop
+  UNION ALL
+  SELECT question_id, domain, chunk_pos, rank, CAST(NULL AS DOUBLE), 1 FROM bm25top),
+contrib AS (
+  SELECT a.question_id, a.domain, a.chunk_pos, a.rank, a.arm, a.distance, substr(c.content, 1, 100) AS fkey,
+         a.arm * 1000 + a.rank AS ord, 1.0 / (a.rank + 60) AS rrf
+  FROM arms a JOIN corpus c USING (domain, chunk_pos)),
+fused AS (
+  SELECT question_id, domain, fkey, round(sum(rrf), 9) AS score, min(ord) AS ord,
+         arg_min(chunk_pos, ord) AS chunk_pos, coalesce(min(distance), 1.0) AS distance
+  FROM contrib GROUP BY question_id, domain, fkey),
+fusedrank AS (
+  SELECT question_id, domain, CAST(rn - 1 AS INTEGER) AS rank, chunk_pos, score, distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id, domain ORDER BY score DESC, ord) AS rn FROM fused)),
+hybrid AS (
+  SELECT f.question_id, f.domain, f.rank, f.chunk_pos, c.page, c.content, f.score, f.distance
+  FROM fusedrank f JOIN corpus c USING (domain, chunk_pos) WHERE f.rank < 5)"""
+
+
+@register("hash_embed", "WITH " + PAGES_CTE + "," + _hash_vec_cte("cvec", "corpus", "domain, chunk_pos", "content")
+          + """
+SELECT domain, chunk_pos, CAST(i - 1 AS INTEGER) AS dim, round(vec[i], 9) AS value
+FROM cvec, range(1, 65) r(i) WHERE vec[i] <> 0""")
+def q_hash_embed(spark, sf_dir):
+    from pyspark.sql import functions as F
+    t = TestTables(spark, sf_dir)
+    v = vector.hash_embed(t.corpus(), ["domain", "chunk_pos"], "content")
+    return (v.select("domain", "chunk_pos", F.posexplode("embedding").alias("dim", "value"))
+             .where(F.col("value") != 0)
+             .select("domain", "chunk_pos", F.col("dim").cast("int").alias("dim"),
+                     F.round("value", 9).alias("value")))
+
+
+@register("vector_distance", f"""
+SELECT a.vec_id, b.vec_id AS next_id,
+       round({SQ_L2.format(a='CAST(a.embedding AS DOUBLE[])', b='CAST(b.embedding AS DOUBLE[])')}, 6) AS distance
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def q_vector_distance(spark, sf_dir):
+    from pyspark.sql import functions as F
+    e = TestTables(spark, sf_dir).table("embeddings")
+    a, b = e.alias("a"), e.alias("b")
+    return (a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1)
+             .select(F.col("a.vec_id").alias("vec_id"), F.col("b.vec_id").alias("next_id"),
+                     F.round(vector.sq_l2(F.col("a.embedding"), F.col("b.embedding")), 6).alias("distance")))
+
+
+@register("vector_topk", f"""
+SELECT question_id, domain, CAST(rn - 1 AS INTEGER) AS rank, chunk_pos, distance FROM (
+  SELECT a.vec_id AS question_id, CAST(a.label AS VARCHAR) AS domain, b.vec_id AS chunk_pos,
+         round({SQ_L2.format(a='CAST(a.embedding AS DOUBLE[])', b='CAST(b.embedding AS DOUBLE[])')}, 6) AS distance,
+         row_number() OVER (PARTITION BY a.vec_id, a.label
+                            ORDER BY round({SQ_L2.format(a='CAST(a.embedding AS DOUBLE[])', b='CAST(b.embedding AS DOUBLE[])')}, 6), b.vec_id) AS rn
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
+WHERE rn <= 10""")
+def q_vector_topk(spark, sf_dir):
+    """Every stored vector as a query against the others of its label (self excluded)."""
+    from pyspark.sql import functions as F
+    v = TestTables(spark, sf_dir).vectors()
+    corpus = v.select("domain", "chunk_pos", F.col("embedding").alias("vec"))
+    qs = v.select(F.col("chunk_pos").alias("question_id"), "domain", F.col("embedding").alias("qvec"),
+                  F.col("chunk_pos").alias("self_pos"))
+    return vector.vector_topk(qs, corpus, 10, exclude_self=True)
+
+
+@register("doc_vector_topk", f"WITH {VEC_CTE} SELECT * FROM vtop")
+def q_doc_vector_topk(spark, sf_dir):
+    t = TestTables(spark, sf_dir)
+    return search.vector_arm(t.questions(), t.collection())
+
+
+# ---------------------------------------------------------------- fusion and hybrid search
+@register("fusion_key", "WITH " + PAGES_CTE + " SELECT domain, chunk_pos, substr(content, 1, 100) AS fkey FROM corpus")
+def q_fusion_key(spark, sf_dir):
+    from quarry.functions.text import prefix_key
+    return TestTables(spark, sf_dir).corpus().select("domain", "chunk_pos", prefix_key("content").alias("fkey"))
+
+
+@register("rrf_scores", f"WITH {FUSION_CTE} SELECT question_id, domain, arm, rank, chunk_pos, round(rrf, 12) AS rrf FROM contrib")
+def q_rrf_scores(spark, sf_dir):
+    from pyspark.sql import functions as F
+    t = TestTables(spark, sf_dir)
+    coll, q = t.collection(), t.questions()
+    keys = coll.chunks.select("domain", "chunk_pos", F.substring("content", 1, 100).alias("fkey"))
+    c = fusion.rrf_contributions(search.vector_arm(q, coll), search.bm25_arm(q, coll), keys)
+    return c.select("question_id", "domain", "arm", "rank", "chunk_pos", F.round("rrf", 12).alias("rrf"))
+
+
+@register("rrf_fuse", f"WITH {FUSION_CTE} SELECT * FROM fusedrank")
+def q_rrf_fuse(spark, sf_dir):
+    """All fused rows (no cut), exercising same-key accumulation within and across arms."""
+    t = TestTables(spark, sf_dir)
+    coll, q = t.collection(), t.questions()
+    return search.fuse(q, coll, search.vector_arm(q, coll), search.bm25_arm(q, coll), n=20)
+
+
+@register("hybrid_search", f"WITH {FUSION_CTE} SELECT * FROM hybrid")
+def q_hybrid_search(spark, sf_dir):
+    t = TestTables(spark, sf_dir)
+    return search.hybrid_search(t.questions(), t.collection())
+
+
+RETRIEVE_CTE = FUSION_CTE + """,
+avail AS (SELECT '[' || string_agg('''' || domain || '''', ', ' ORDER BY ord) || ']' AS a FROM cat),
+perq AS (
+  SELECT question_id, domain, count(*) AS n_chunks,
+         string_agg(CAST(chunk_pos AS VARCHAR), ',' ORDER BY rank) AS chunk_list,
+         min(distance) FILTER (WHERE rank = 0) AS top_distance
+  FROM hybrid GROUP BY question_id, domain),
+retrieved AS (
+  SELECT q.question_id, q.domain,
+    CASE WHEN q.domain NOT IN (SELECT domain FROM cat) THEN false
+         WHEN p.top_distance IS NULL THEN false
+         ELSE p.top_distance <= 1.3 END AS confident,
+    CASE WHEN q.domain NOT IN (SELECT domain FROM cat)
+           THEN 'Unknown domain ''' || q.domain || '''. Available: ' || (SELECT a FROM avail)
+         WHEN p.top_distance IS NULL THEN 'No results found.'
+         WHEN p.top_distance > 1.3 THEN printf('Top result distance %.3f exceeds threshold 1.3.', round(p.top_distance, 3))
+         ELSE NULL END AS reason,
+    CASE WHEN q.domain IN (SELECT domain FROM cat) THEN coalesce(p.n_chunks, 0) ELSE 0 END AS n_chunks,
+    CASE WHEN q.domain IN (SELECT domain FROM cat) THEN coalesce(p.chunk_list, '') ELSE '' END AS chunk_list,
+    CASE WHEN q.domain IN (SELECT domain FROM cat) THEN p.top_distance END AS top_distance
+  FROM questions q LEFT JOIN perq p USING (question_id, domain))"""
+
+
+@register("retrieve", f"WITH {RETRIEVE_CTE} SELECT * FROM retrieved")
+def q_retrieve(spark, sf_dir):
+    from pyspark.sql import functions as F
+    t = TestTables(spark, sf_dir)
+    r = search.retrieve(t.questions(), t.collection(), t.catalog())
+    return r.select("question_id", "domain", "confident", "reason",
+                    F.size("chunks").cast("long").alias("n_chunks"),
+                    F.array_join(F.transform("chunks", lambda c: c["chunk_pos"].cast("string")), ",").alias("chunk_list"),
+                    "top_distance")

@@ -17,12 +17,12 @@ PAGES_SCHEMA = "domain string, file string, page int, text string"
 
 
 def load_pages(docs: DataFrame, domain_col: str, file_col: str, order_col: str, text_col: str,
-               rows_per_bucket: int | None = None) -> DataFrame:
+               width: int | None = None) -> DataFrame:
     """A table of source rows becomes pages: ``page`` is the 0-based position of the row
     in its file, ordered by ``order_col``."""
     base = docs.select(F.col(domain_col).alias("domain"), F.col(file_col).alias("file"),
                        F.col(order_col).alias("_order"), F.col(text_col).alias("text"))
-    kw = {"rows_per_bucket": rows_per_bucket} if rows_per_bucket else {}
+    kw = {"width": width} if width else {}
     pos = dense_position(base, ["domain", "file"], ["_order"], out="_page", **kw)
     return pos.select("domain", "file", F.col("_page").cast("int").alias("page"), "_order", "text")
 

@@ -11,6 +11,7 @@ conversations(conv_id, turn, role, text) -> message history: session = conv_id,
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,12 @@ class TestTables:
 
     def corpus(self) -> DataFrame:
         """One chunk per page, catalogued domains with pages only."""
-        return corpus_src.pages_as_chunks(self.pages(), self.catalog())
+        return corpus_src.pages_as_chunks(self.pages(), self.catalog()).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def collection(self):
+        """Chunks + hash vectors + BM25 index of the corpus, cached for reuse."""
+        from quarry.plans.search import build_collection
+        return build_collection(self.corpus()).persist()
 
     def questions(self) -> DataFrame:
         return corpus_src.questions_for_domains(self.table("benchmark"), "item_id", "text", REQUEST_DOMAINS)
