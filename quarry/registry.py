@@ -266,3 +266,7 @@ def q_retrieve(spark, sf_dir):
                     F.size("chunks").cast("long").alias("n_chunks"),
                     F.array_join(F.transform("chunks", lambda c: c["chunk_pos"].cast("string")), ",").alias("chunk_list"),
                     "top_distance")
+
+
+# The remaining groups register themselves on import.
+from quarry import registry_conv  # noqa: E402,F401

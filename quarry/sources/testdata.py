@@ -35,6 +35,8 @@ REQUEST_DOMAINS = ["en", "fr", "de", "es", "it"]
 # The log mapping.
 CONFIDENT_BELOW = 20.0
 RESET_EVENT = "signup"
+# The deterministic stand-in for the language model used by tests.
+TEST_ANSWER_PREFIX = "Answer to: "
 
 
 class TestTables:
@@ -63,8 +65,8 @@ class TestTables:
     def questions(self) -> DataFrame:
         return corpus_src.questions_for_domains(self.table("benchmark"), "item_id", "text", REQUEST_DOMAINS)
 
-    def query_log(self) -> DataFrame:
-        """events as the query log (timestamp as UTC instant)."""
+    def requests(self) -> DataFrame:
+        """events as chat requests in arrival order; 'signup' rows are resets."""
         e = self.table("events")
         return e.select(
             F.col("event_id"),
@@ -72,9 +74,23 @@ class TestTables:
             F.col("user_id").cast("string").alias("session_id"),
             F.col("event_type").alias("domain"),
             F.col("props").alias("question"),
-            F.lit(None).cast("string").alias("answer"),
             (F.col("value") < F.lit(CONFIDENT_BELOW)).alias("confident"))
 
+    def turns(self) -> DataFrame:
+        """Answered requests (resets excluded) with the deterministic test answer."""
+        from quarry.operators.answers import REFUSAL
+        r = self.requests().where(F.col("domain") != F.lit(RESET_EVENT))
+        return r.withColumn("answer", F.when(F.col("confident"), F.concat(F.lit(TEST_ANSWER_PREFIX), F.col("question")))
+                                       .otherwise(F.lit(REFUSAL)))
+
+    def resets(self) -> DataFrame:
+        return self.requests().where(F.col("domain") == F.lit(RESET_EVENT))
+
+    def query_log(self) -> DataFrame:
+        """The log of answered requests (events as the query log)."""
+        return self.turns().select("event_id", "timestamp", "session_id", "domain", "question", "answer",
+                                   "confident")
+
     def vectors(self) -> DataFrame:
         e = self.table("embeddings")
         return e.select(F.col("label").cast("string").alias("domain"),
