@@ -1,10 +1,9 @@
 """BM25 (Okapi) keyword search as index tables plus one join per question batch.
 
 Index (built once per corpus, reusable, persistable):
-  postings(domain, chunk_pos, term, f, dl)   term frequency f, chunk length dl
-  stats(domain, n_chunks, avgdl)             one row per domain
+  postings(domain, chunk_pos, term, f, dl, w) term frequency f, chunk length dl, BM25 weight w
+  stats(domain, n_chunks, avgdl, eps)        one row per domain; eps = 0.25 * mean raw idf
   idf(domain, term, df, idf)                 floored idf (negative -> eps)
-  eps(domain, eps)                           0.25 * mean raw idf over distinct terms
 
 Scoring a batch of questions joins question terms (small, size-checked broadcast) to
 the postings (streamed, never shuffled for the join), sums per (question, chunk), and
@@ -33,24 +32,22 @@ EPSILON = 0.25
 
 @dataclass
 class BM25Index:
-    postings: DataFrame
-    stats: DataFrame
-    idf: DataFrame
-    eps: DataFrame
+    postings: DataFrame        # domain, chunk_pos, term, f, dl
+    stats: DataFrame           # domain, n_chunks, avgdl, eps
+    idf: DataFrame             # domain, term, df, idf
 
     def persist(self) -> "BM25Index":
-        return BM25Index(self.postings.persist(), self.stats.persist(), self.idf.persist(), self.eps.persist())
+        return BM25Index(self.postings.persist(), self.stats.persist(), self.idf.persist())
 
     def write(self, path: str) -> None:
         self.postings.write.mode("overwrite").partitionBy("domain").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         self.idf.write.mode("overwrite").partitionBy("domain").parquet(f"{path}/idf")
-        self.eps.write.mode("overwrite").parquet(f"{path}/eps")
 
     @staticmethod
     def read(spark, path: str) -> "BM25Index":
         return BM25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"),
-                         spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/eps"))
+                         spark.read.parquet(f"{path}/idf"))
 
 
 def tokens(df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:
@@ -58,25 +55,41 @@ def tokens(df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:
     return df.withColumn(out, tokenize(text_col))
 
 
-def postings(chunks: DataFrame, text_col: str = "content") -> DataFrame:
-    """B2: (domain, chunk_pos, term, f, dl). The explode is a narrow Generate; partial
-    aggregation collapses repeated terms of a chunk before the shuffle."""
-    t = chunks.select("domain", "chunk_pos", tokenize(text_col).alias("_t"))
-    return (t.select("domain", "chunk_pos", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-             .groupBy("domain", "chunk_pos", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
-             .select("domain", "chunk_pos", "term", F.col("f").cast("long").alias("f"),
-                     F.col("dl").cast("long").alias("dl")))
+def raw_postings(chunks: DataFrame, text_col: str = "content", partitions: int | None = None) -> DataFrame:
+    """One pass over the text: (domain, chunk_pos, dl, term, f), with one row of null
+    term for a chunk without tokens (so every chunk is represented).
+
+    Chunks are shuffled once by (domain, chunk_pos); the explode and the per-chunk term
+    count then run where the chunk lives, and every later aggregation keyed by a superset
+    of (domain, chunk_pos) (lengths, hash vectors) reuses that partitioning.
+    """
+    base = chunks.select("domain", "chunk_pos", text_col)
+    base = base.repartition(partitions, "domain", "chunk_pos") if partitions else base.repartition("domain", "chunk_pos")
+    t = base.select("domain", "chunk_pos", tokenize(text_col).alias("_t"))
+    return (t.select("domain", "chunk_pos", F.size("_t").cast("long").alias("dl"), F.explode_outer("_t").alias("term"))
+             .groupBy("domain", "chunk_pos", "dl", "term").agg(F.count(F.lit(1)).cast("long").alias("f")))
+
+
+def postings(chunks_or_raw: DataFrame, text_col: str = "content") -> DataFrame:
+    """B2: (domain, chunk_pos, term, f, dl), from chunks or from :func:`raw_postings`."""
+    raw = chunks_or_raw if "term" in chunks_or_raw.columns else raw_postings(chunks_or_raw, text_col)
+    return raw.where(F.col("term").isNotNull()).select("domain", "chunk_pos", "term", "f", "dl")
+
+
+def chunk_lengths(raw: DataFrame) -> DataFrame:
+    """(domain, chunk_pos, dl) for every chunk (no shuffle after :func:`raw_postings`)."""
+    return raw.groupBy("domain", "chunk_pos").agg(F.max("dl").alias("dl"))
 
 
-def corpus_stats(chunks: DataFrame, text_col: str = "content") -> DataFrame:
+def corpus_stats(raw: DataFrame) -> DataFrame:
     """N and avgdl per domain, counting chunks with no tokens too."""
-    return (chunks.groupBy("domain")
-                  .agg(F.count(F.lit(1)).alias("n_chunks"),
-                       F.avg(F.size(tokenize(text_col)).cast("double")).alias("avgdl")))
+    return (chunk_lengths(raw).groupBy("domain")
+                              .agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.col("dl").cast("double")).alias("avgdl")))
 
 
 def term_idf(post: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw idf ln(N-df+0.5) - ln(df+0.5); negatives replaced by the domain's eps."""
+    """Raw idf ln(N-df+0.5) - ln(df+0.5); negatives replaced by the domain's eps.
+    Returns (idf table, stats with eps)."""
     df = post.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df"))
     raw = (df.join(dim_broadcast(stats.select("domain", "n_chunks")), "domain")
              .withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + F.lit(0.5))
@@ -85,14 +98,28 @@ def term_idf(post: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     idf = (raw.join(dim_broadcast(eps), "domain")
               .select("domain", "term", F.col("df").cast("long").alias("df"),
                       F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf")))
-    return idf, eps
+    return idf, stats.join(eps, "domain", "left")
+
+
+def weighted_postings(post: DataFrame, idf: DataFrame, stats: DataFrame) -> DataFrame:
+    """Postings with the precomputed BM25 term weight
+    ``w = idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl))``: scoring a question is
+    then a join on (domain, term) and a sum of ``qtf * w``."""
+    tf_part = (F.col("f") * F.lit(K1 + 1.0)
+               / (F.col("f") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))))
+    return (post.join(idf.select("domain", "term", "idf"), ["domain", "term"])
+                .join(dim_broadcast(stats.select("domain", "avgdl")), "domain")
+                .select("domain", "chunk_pos", "term", "f", "dl", (F.col("idf") * tf_part).alias("w")))
+
+
+def index_from_raw(raw: DataFrame) -> BM25Index:
+    post = postings(raw)
+    idf, stats = term_idf(post, corpus_stats(raw))
+    return BM25Index(post, stats, idf)
 
 
 def build_index(chunks: DataFrame, text_col: str = "content") -> BM25Index:
-    post = postings(chunks, text_col)
-    stats = corpus_stats(chunks, text_col)
-    idf, eps = term_idf(post, stats)
-    return BM25Index(post, stats, idf, eps)
+    return index_from_raw(raw_postings(chunks, text_col))
 
 
 def question_terms(questions: DataFrame, text_col: str = "question") -> DataFrame:
@@ -105,6 +132,10 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
            max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """B5 plus the zero-fill candidates of B6: (question_id, domain, chunk_pos, score).
 
+    Question terms are joined to the idf table (small result, broadcast), then to the
+    postings, which stay where they are: the postings are partitioned by
+    (domain, chunk_pos), so the per-(question, chunk) sum needs no shuffle.
+
     Candidates are the matched chunks plus the first ``pad`` chunks of the domain (score 0
     unless matched). ``pad = k`` when the domain's eps >= 0 (scores are never negative, so
     zero-score chunks enter the top k in corpus order and lie within the first k
@@ -114,19 +145,19 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
     """
     qt = question_terms(questions, text_col)
     small = fits(qt, max_broadcast_rows)
+    # idf is unique per (domain, term): |qidf| <= |qt|, so the same check bounds it.
     qidf = (F.broadcast(qt) if small else qt).join(index.idf, ["domain", "term"])
-    # idf is unique per (domain, term), so |qidf| <= |qt|: the same check bounds it.
-    st = dim_broadcast(index.stats.join(index.eps, "domain", "left"))
-    contrib = ((F.broadcast(qidf) if small else qidf).join(index.postings, ["domain", "term"])
-               .join(st, "domain")
-               .select("question_id", "domain", "chunk_pos",
-                       (F.col("qtf") * F.col("idf") * F.col("f") * F.lit(K1 + 1.0)
-                        / (F.col("f") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))))
-                       .alias("v")))
-    matched_df = qidf.groupBy("question_id", "domain").agg(F.sum("df").alias("_dfsum"))
+    qidf = qidf.join(dim_broadcast(index.stats.select("domain", "avgdl")), "domain")
+    tf_part = (F.col("f") * F.lit(K1 + 1.0)
+               / (F.col("f") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))))
+    contrib = (index.postings.join(F.broadcast(qidf) if small else qidf, ["domain", "term"])
+                    .select("question_id", "domain", "chunk_pos",
+                            (F.col("qtf") * F.col("idf") * tf_part).alias("v")))
+    st = dim_broadcast(index.stats)
+    dfsum = qidf.groupBy("question_id", "domain").agg(F.sum("df").alias("_dfsum"))
     qs = questions.select("question_id", "domain").distinct()
     pads = (qs.join(st, "domain")
-              .join(matched_df, ["question_id", "domain"], "left")
+              .join(dfsum, ["question_id", "domain"], "left")
               .select("question_id", "domain",
                       F.when(F.coalesce(F.col("eps"), F.lit(0.0)) >= 0,
                              F.least(F.col("n_chunks"), F.lit(k)))
@@ -136,6 +167,11 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
               .select("question_id", "domain",
                       F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_pad") - 1).cast("long"))).alias("chunk_pos"),
                       F.lit(0.0).alias("v")))
+    # Pads are placed like the postings (hash of domain, chunk_pos), so the union keeps
+    # that partitioning and the per-(question, chunk) sum runs without any shuffle; a
+    # padded position that is also matched simply adds 0 to its real score.
+    n_parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pads = pads.repartition(n_parts, "domain", "chunk_pos")
     return (contrib.unionByName(pads)
                    .groupBy("question_id", "domain", "chunk_pos").agg(F.sum("v").alias("score")))
 

@@ -52,6 +52,22 @@ def hash_embed(df: DataFrame, key_cols: list[str], text_col: str, dim: int = DIM
                  F.when(F.col("_tok").isNull(), F.lit(-1).cast("long"))
                   .otherwise(F.pmod(bucket, F.lit(dim))).alias("_bk"),
                  F.when(F.col("_tok").isNull(), F.lit(0)).otherwise(sign).alias("_sg"))
+    return _dense_from_buckets(t, key_cols, dim, out)
+
+
+def embed_postings(raw: DataFrame, dim: int = DIM, out: str = "vec") -> DataFrame:
+    """The same hash vectors from :func:`quarry.operators.bm25.raw_postings`: each term
+    adds ``f * sign`` to its bucket. Both aggregations are keyed by (domain, chunk_pos, ...)
+    and reuse the postings' partitioning, so this adds no shuffle."""
+    bucket, sign = _hash_parts(F.col("term"))
+    t = raw.select("domain", "chunk_pos",
+                   F.when(F.col("term").isNull(), F.lit(-1).cast("long"))
+                    .otherwise(F.pmod(bucket, F.lit(dim))).alias("_bk"),
+                   F.when(F.col("term").isNull(), F.lit(0)).otherwise(sign * F.col("f")).alias("_sg"))
+    return _dense_from_buckets(t, ["domain", "chunk_pos"], dim, out)
+
+
+def _dense_from_buckets(t: DataFrame, key_cols: list[str], dim: int, out: str) -> DataFrame:
     per_bucket = t.groupBy(*key_cols, "_bk").agg(F.sum("_sg").cast("double").alias("_v"))
     per_row = per_bucket.groupBy(*key_cols).agg(
         F.map_from_entries(F.collect_list(F.struct("_bk", "_v"))).alias("_m"),

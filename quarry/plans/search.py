@@ -40,12 +40,20 @@ class Collection:
         return Collection(self.chunks.persist(lvl), self.vectors.persist(lvl), self.index.persist())
 
 
-def build_collection(chunks: DataFrame, dim: int = vector.DIM, embed=None) -> Collection:
+def build_collection(chunks: DataFrame, dim: int = vector.DIM, embed=None, persist: bool = True) -> Collection:
     """Vectors (built-in hash encoder unless ``embed(df, key_cols, text_col)`` is given)
-    and the BM25 index for a chunk table."""
-    emb = embed or (lambda df, keys, text: vector.hash_embed(df, keys, text, dim, out="vec"))
-    vecs = emb(chunks, ["domain", "chunk_pos"], "content")
-    return Collection(chunks, vecs.select("domain", "chunk_pos", "vec"), bm25.build_index(chunks))
+    and the BM25 index for a chunk table, from one pass over the text: the raw postings
+    (chunks shuffled once by (domain, chunk_pos)) feed the index and the hash vectors.
+    ``persist`` keeps the raw postings for the three consumers (recomputable from
+    lineage if an executor is lost)."""
+    raw = bm25.raw_postings(chunks)
+    if persist:
+        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    if embed is None:
+        vecs = vector.embed_postings(raw, dim, out="vec")
+    else:
+        vecs = embed(chunks, ["domain", "chunk_pos"], "content")
+    return Collection(chunks, vecs.select("domain", "chunk_pos", "vec"), bm25.index_from_raw(raw))
 
 
 def _maybe(df: DataFrame, small: bool) -> DataFrame:
@@ -66,13 +74,18 @@ def bm25_arm(questions: DataFrame, coll: Collection, k: int = 10) -> DataFrame:
     return bm25.bm25_topk(questions, coll.index, k)
 
 
+def fusion_keys(chunks: DataFrame) -> DataFrame:
+    """(domain, chunk_pos, fkey); uses a stored ``fkey`` column when the collection has one."""
+    fk = F.col("fkey") if "fkey" in chunks.columns else prefix_key("content", fusion.KEY_CHARS)
+    return chunks.select("domain", "chunk_pos", fk.alias("fkey"))
+
+
 def fuse(questions: DataFrame, coll: Collection, vec_hits: DataFrame, bm_hits: DataFrame,
          n: int = fusion.N_RESULTS, small: bool = True, rank_base: int = 0) -> DataFrame:
-    cands = (vec_hits.select("domain", "chunk_pos").unionByName(bm_hits.select("domain", "chunk_pos"))
-                     .distinct())
-    keys = (coll.chunks.join(_maybe(cands, small), ["domain", "chunk_pos"], "left_semi")
-                       .select("domain", "chunk_pos", prefix_key("content", fusion.KEY_CHARS).alias("fkey")))
-    contrib = fusion.rrf_contributions(vec_hits, bm_hits, _maybe(keys, small), rank_base=rank_base)
+    """Each arm's hits are consumed once: the stacked arms (<= 2k rows per question,
+    broadcast when the batch is small) are joined to the fusion keys of the collection."""
+    contrib = fusion.rrf_contributions(vec_hits, bm_hits, fusion_keys(coll.chunks), rank_base=rank_base,
+                                       broadcast_arms=small)
     return fusion.rrf_fuse(contrib, n)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.broadcast import dim_broadcast
 from quarry.functions.ordinal import dense_position
+from quarry.functions.text import prefix_key
 
 PAGES_SCHEMA = "domain string, file string, page int, text string"
 
@@ -52,7 +53,8 @@ def pages_as_chunks(pages: DataFrame, cat: DataFrame) -> DataFrame:
     return enrich(
         pages.join(dim_broadcast(c), ["domain", "file"], "left_semi")
              .select("domain", F.col("page").cast("long").alias("chunk_pos"), "page",
-                     F.lit(0).alias("chunk_no"), F.col("text").alias("content")),
+                     F.lit(0).alias("chunk_no"), F.col("text").alias("content"),
+                     prefix_key("text").alias("fkey")),
         cat)
 
 
