@@ -271,3 +271,4 @@ def q_retrieve(spark, sf_dir):
 # The remaining groups register themselves on import.
 from quarry import registry_conv  # noqa: E402,F401
 from quarry import registry_ingest  # noqa: E402,F401
+from quarry import registry_stream  # noqa: E402,F401

@@ -67,21 +67,11 @@ class TestTables:
 
     def requests(self) -> DataFrame:
         """events as chat requests in arrival order; 'signup' rows are resets."""
-        e = self.table("events")
-        return e.select(
-            F.col("event_id"),
-            F.col("ts").cast("timestamp").alias("timestamp"),
-            F.col("user_id").cast("string").alias("session_id"),
-            F.col("event_type").alias("domain"),
-            F.col("props").alias("question"),
-            (F.col("value") < F.lit(CONFIDENT_BELOW)).alias("confident"))
+        return requests_from_events(self.table("events"))
 
     def turns(self) -> DataFrame:
         """Answered requests (resets excluded) with the deterministic test answer."""
-        from quarry.operators.answers import REFUSAL
-        r = self.requests().where(F.col("domain") != F.lit(RESET_EVENT))
-        return r.withColumn("answer", F.when(F.col("confident"), F.concat(F.lit(TEST_ANSWER_PREFIX), F.col("question")))
-                                       .otherwise(F.lit(REFUSAL)))
+        return turns_from_requests(self.requests())
 
     def resets(self) -> DataFrame:
         return self.requests().where(F.col("domain") == F.lit(RESET_EVENT))
@@ -100,3 +90,22 @@ class TestTables:
         c = self.table("conversations")
         return c.select(F.col("conv_id").cast("string").alias("session_id"),
                         F.col("turn").cast("long").alias("seq"), "role", F.col("text").alias("content"))
+
+
+def requests_from_events(e: DataFrame) -> DataFrame:
+    """Projection of the events table (batch or stream) onto chat requests."""
+    return e.select(
+            F.col("event_id"),
+            F.col("ts").cast("timestamp").alias("timestamp"),
+            F.col("user_id").cast("string").alias("session_id"),
+            F.col("event_type").alias("domain"),
+            F.col("props").alias("question"),
+            (F.col("value") < F.lit(CONFIDENT_BELOW)).alias("confident"))
+
+
+def turns_from_requests(r: DataFrame) -> DataFrame:
+    """Answered requests (resets excluded) with the deterministic test answer."""
+    from quarry.operators.answers import REFUSAL
+    r = r.where(F.col("domain") != F.lit(RESET_EVENT))
+    return r.withColumn("answer", F.when(F.col("confident"), F.concat(F.lit(TEST_ANSWER_PREFIX), F.col("question")))
+                                   .otherwise(F.lit(REFUSAL)))
