@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import bm25, fusion, vector
 from quarry.plans import search
-from quarry.sources.testdata import TestTables
+from quarry.sources.testdata import SourceTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,7 +89,7 @@ bm25top AS (
 # ---------------------------------------------------------------- BM25
 @register("bm25_topk", f"WITH {BM25_CTE} SELECT * FROM bm25top")
 def q_bm25_topk(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     idx = bm25.build_index(t.corpus())
     return bm25.bm25_topk(t.questions(), idx)
 
@@ -158,7 +158,7 @@ SELECT domain, chunk_pos, CAST(i - 1 AS INTEGER) AS dim, round(vec[i], 9) AS val
 FROM cvec, range(1, 65) r(i) WHERE vec[i] <> 0""")
 def q_hash_embed(spark, sf_dir):
     from pyspark.sql import functions as F
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     v = vector.hash_embed(t.corpus(), ["domain", "chunk_pos"], "content")
     return (v.select("domain", "chunk_pos", F.posexplode("embedding").alias("dim", "value"))
              .where(F.col("value") != 0)
@@ -172,7 +172,7 @@ SELECT a.vec_id, b.vec_id AS next_id,
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def q_vector_distance(spark, sf_dir):
     from pyspark.sql import functions as F
-    e = TestTables(spark, sf_dir).table("embeddings")
+    e = SourceTables(spark, sf_dir).table("embeddings")
     a, b = e.alias("a"), e.alias("b")
     return (a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1)
              .select(F.col("a.vec_id").alias("vec_id"), F.col("b.vec_id").alias("next_id"),
@@ -190,7 +190,7 @@ WHERE rn <= 10""")
 def q_vector_topk(spark, sf_dir):
     """Every stored vector as a query against the others of its label (self excluded)."""
     from pyspark.sql import functions as F
-    v = TestTables(spark, sf_dir).vectors()
+    v = SourceTables(spark, sf_dir).vectors()
     corpus = v.select("domain", "chunk_pos", F.col("embedding").alias("vec"))
     qs = v.select(F.col("chunk_pos").alias("question_id"), "domain", F.col("embedding").alias("qvec"),
                   F.col("chunk_pos").alias("self_pos"))
@@ -199,7 +199,7 @@ def q_vector_topk(spark, sf_dir):
 
 @register("doc_vector_topk", f"WITH {VEC_CTE} SELECT * FROM vtop")
 def q_doc_vector_topk(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     return search.vector_arm(t.questions(), t.collection())
 
 
@@ -207,13 +207,13 @@ def q_doc_vector_topk(spark, sf_dir):
 @register("fusion_key", "WITH " + PAGES_CTE + " SELECT domain, chunk_pos, substr(content, 1, 100) AS fkey FROM corpus")
 def q_fusion_key(spark, sf_dir):
     from quarry.functions.text import prefix_key
-    return TestTables(spark, sf_dir).corpus().select("domain", "chunk_pos", prefix_key("content").alias("fkey"))
+    return SourceTables(spark, sf_dir).corpus().select("domain", "chunk_pos", prefix_key("content").alias("fkey"))
 
 
 @register("rrf_scores", f"WITH {FUSION_CTE} SELECT question_id, domain, arm, rank, chunk_pos, round(rrf, 12) AS rrf FROM contrib")
 def q_rrf_scores(spark, sf_dir):
     from pyspark.sql import functions as F
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     coll, q = t.collection(), t.questions()
     keys = coll.chunks.select("domain", "chunk_pos", F.substring("content", 1, 100).alias("fkey"))
     c = fusion.rrf_contributions(search.vector_arm(q, coll), search.bm25_arm(q, coll), keys)
@@ -223,14 +223,14 @@ def q_rrf_scores(spark, sf_dir):
 @register("rrf_fuse", f"WITH {FUSION_CTE} SELECT * FROM fusedrank")
 def q_rrf_fuse(spark, sf_dir):
     """All fused rows (no cut), exercising same-key accumulation within and across arms."""
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     coll, q = t.collection(), t.questions()
     return search.fuse(q, coll, search.vector_arm(q, coll), search.bm25_arm(q, coll), n=20)
 
 
 @register("hybrid_search", f"WITH {FUSION_CTE} SELECT * FROM hybrid")
 def q_hybrid_search(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     return search.hybrid_search(t.questions(), t.collection())
 
 
@@ -260,7 +260,7 @@ retrieved AS (
 @register("retrieve", f"WITH {RETRIEVE_CTE} SELECT * FROM retrieved")
 def q_retrieve(spark, sf_dir):
     from pyspark.sql import functions as F
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     r = search.retrieve(t.questions(), t.collection(), t.catalog())
     return r.select("question_id", "domain", "confident", "reason",
                     F.size("chunks").cast("long").alias("n_chunks"),

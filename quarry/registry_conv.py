@@ -11,7 +11,7 @@ from quarry.plans import search
 from quarry.registry import PAGES_CTE, RETRIEVE_CTE, register
 from quarry.session import shared_dir
 from quarry.sources import querylog
-from quarry.sources.testdata import RESET_EVENT, TestTables
+from quarry.sources.testdata import RESET_EVENT, SourceTables
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 TS_SQL = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -35,7 +35,7 @@ def _ts(c="timestamp"):
 # ---------------------------------------------------------------- log and reports
 @register("queries_per_domain", f"WITH {EVENTS_CTE} SELECT domain, count(*) AS query_count FROM turns GROUP BY domain")
 def q_queries_per_domain(spark, sf_dir):
-    return reports.queries_per_domain(TestTables(spark, sf_dir).query_log())
+    return reports.queries_per_domain(SourceTables(spark, sf_dir).query_log())
 
 
 @register("confidence_rate", f"""WITH {EVENTS_CTE}
@@ -43,14 +43,14 @@ SELECT domain, count(*) FILTER (WHERE confident) AS confident_count, count(*) AS
        round(count(*) FILTER (WHERE confident) / count(*) * 100, 1) AS confidence_rate_pct
 FROM turns GROUP BY domain""")
 def q_confidence_rate(spark, sf_dir):
-    return reports.confidence_rate(TestTables(spark, sf_dir).query_log())
+    return reports.confidence_rate(SourceTables(spark, sf_dir).query_log())
 
 
 @register("recent_questions", f"""WITH {EVENTS_CTE}
 SELECT {TS_SQL.format(c='ts')} AS timestamp, domain, question, event_id
 FROM turns ORDER BY ts DESC, event_id DESC LIMIT 5""")
 def q_recent_questions(spark, sf_dir):
-    r = reports.recent_questions(TestTables(spark, sf_dir).query_log(), 5, tie_break="event_id")
+    r = reports.recent_questions(SourceTables(spark, sf_dir).query_log(), 5, tie_break="event_id")
     return r.select(_ts().alias("timestamp"), "domain", "question", "event_id")
 
 
@@ -59,13 +59,13 @@ SELECT {TS_SQL.format(c='ts')} AS timestamp, domain, question
 FROM turns ORDER BY ts DESC LIMIT 5""")
 def q_recent_questions_sql(spark, sf_dir):
     """A3 as the report's SQL text over a temp view (timestamps are unique in the log)."""
-    r = reports.run_report_sql(TestTables(spark, sf_dir).query_log(), "recent_questions")
+    r = reports.run_report_sql(SourceTables(spark, sf_dir).query_log(), "recent_questions")
     return r.select(_ts().alias("timestamp"), "domain", "question")
 
 
 @register("log_day", f"WITH {EVENTS_CTE} SELECT event_id, strftime(ts, '%Y-%m-%d') AS log_date FROM turns")
 def q_log_day(spark, sf_dir):
-    return TestTables(spark, sf_dir).query_log().select("event_id", querylog.log_day("timestamp").alias("log_date"))
+    return SourceTables(spark, sf_dir).query_log().select("event_id", querylog.log_day("timestamp").alias("log_date"))
 
 
 @register("to_json_log", f"""WITH {EVENTS_CTE}
@@ -76,7 +76,7 @@ SELECT event_id, to_json(struct_pack(
   confident := confident))::VARCHAR AS json
 FROM turns""")
 def q_to_json_log(spark, sf_dir):
-    log = TestTables(spark, sf_dir).query_log()
+    log = SourceTables(spark, sf_dir).query_log()
     rec = F.struct(querylog.iso_utc("timestamp").alias("timestamp"), "session_id", "domain", "question",
                    "answer", "confident")
     return log.select("event_id", F.to_json(rec, {"ignoreNullFields": "false"}).alias("json"))
@@ -89,7 +89,7 @@ FROM turns""")
 def q_log_roundtrip(spark, sf_dir):
     """S5 then S6: append the log to day partitions in the shared folder and read it back."""
     path = shared_dir(spark, "query-log")
-    querylog.write_log(TestTables(spark, sf_dir).query_log(), path)
+    querylog.write_log(SourceTables(spark, sf_dir).query_log(), path)
     back = querylog.read_log(spark, path)
     return back.select(_ts().alias("timestamp"), "session_id", "domain", "question", "answer", "confident",
                        "log_date")
@@ -98,13 +98,13 @@ def q_log_roundtrip(spark, sf_dir):
 @register("message_counts", """
 SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS message_count FROM conversations GROUP BY conv_id""")
 def q_message_counts(spark, sf_dir):
-    return reports.message_counts(TestTables(spark, sf_dir).messages())
+    return reports.message_counts(SourceTables(spark, sf_dir).messages())
 
 
 # ---------------------------------------------------------------- conversation state
 @register("session_keys", f"WITH {EVENTS_CTE} SELECT event_id, session_id || ':' || domain AS session_key FROM turns")
 def q_session_keys(spark, sf_dir):
-    return TestTables(spark, sf_dir).turns().select("event_id", sessions.session_key().alias("session_key"))
+    return SourceTables(spark, sf_dir).turns().select("event_id", sessions.session_key().alias("session_key"))
 
 
 @register("session_starts", f"""WITH {EVENTS_CTE}
@@ -112,7 +112,7 @@ SELECT session_id || ':' || domain AS session_key, arg_min(event_id, (ts, event_
        {TS_SQL.format(c='min(ts)')} AS first_timestamp
 FROM turns GROUP BY session_id, domain""")
 def q_session_starts(spark, sf_dir):
-    s = sessions.session_starts(TestTables(spark, sf_dir).turns())
+    s = sessions.session_starts(SourceTables(spark, sf_dir).turns())
     return s.select("session_key", "first_event_id", _ts("first_timestamp").alias("first_timestamp"))
 
 
@@ -120,7 +120,7 @@ def q_session_starts(spark, sf_dir):
 SELECT event_id, 0 AS part, 'user' AS role, question AS content FROM turns
 UNION ALL SELECT event_id, 1, 'assistant', answer FROM turns""")
 def q_turn_messages(spark, sf_dir):
-    return sessions.turn_messages(TestTables(spark, sf_dir).turns()).drop("session_id", "domain")
+    return sessions.turn_messages(SourceTables(spark, sf_dir).turns()).drop("session_id", "domain")
 
 
 @register("chat_history", """
@@ -130,7 +130,7 @@ SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq,
 FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def q_chat_history(spark, sf_dir):
-    h = sessions.chat_history(TestTables(spark, sf_dir).messages())
+    h = sessions.chat_history(SourceTables(spark, sf_dir).messages())
     return h.select("session_id", "seq", F.size("history").cast("long").alias("history_len"),
                     F.to_json("history").alias("history"))
 
@@ -145,7 +145,7 @@ SELECT event_id, session_id, domain, epoch,
        CAST(2 * (row_number() OVER (PARTITION BY session_id, domain, epoch ORDER BY ts, event_id) - 1) AS BIGINT) AS history_len
 FROM ep WHERE domain <> 'signup'""")
 def q_history_with_reset(spark, sf_dir):
-    r = TestTables(spark, sf_dir).requests()
+    r = SourceTables(spark, sf_dir).requests()
     h = sessions.history_positions(r, F.col("domain") == F.lit(RESET_EVENT))
     return h.select("event_id", "session_id", "domain", "epoch", "turn_no", "history_len")
 
@@ -157,7 +157,7 @@ SELECT event_id, session_id, domain,
             OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment
 FROM lg""")
 def q_conversation_segments(spark, sf_dir):
-    s = sessions.conversation_segments(TestTables(spark, sf_dir).turns())
+    s = sessions.conversation_segments(SourceTables(spark, sf_dir).turns())
     return s.select("event_id", "session_id", "domain", "segment")
 
 
@@ -168,7 +168,7 @@ SELECT r.session_id, r.event_id AS reset_id,
 FROM resets r LEFT JOIN starts s USING (session_id)
 GROUP BY r.session_id, r.event_id""")
 def q_reset_report(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     rep = sessions.reset_report(t.turns(), t.resets())
     return rep.select("session_id", "reset_id", F.array_join("cleared", ",").alias("cleared"))
 
@@ -176,7 +176,7 @@ def q_reset_report(spark, sf_dir):
 @register("new_session_ids")
 def q_new_session_ids(spark, sf_dir):
     """H5: a new short id per reset (random; rows-only check)."""
-    return sessions.new_session_ids(TestTables(spark, sf_dir).resets().select("event_id", "session_id"))
+    return sessions.new_session_ids(SourceTables(spark, sf_dir).resets().select("event_id", "session_id"))
 
 
 # ---------------------------------------------------------------- catalog, validity, blanks
@@ -185,7 +185,7 @@ def q_new_session_ids(spark, sf_dir):
           "(3, 'it', 'Italian documents — invented prose')) t(ord, domain, description)")
 def q_list_domains(spark, sf_dir):
     from quarry.sources.domains import list_domains
-    return list_domains(TestTables(spark, sf_dir).catalog())
+    return list_domains(SourceTables(spark, sf_dir).catalog())
 
 
 @register("missing_sources", f"""WITH {PAGES_CTE}
@@ -193,7 +193,7 @@ SELECT CAST(ord AS INTEGER) AS ord, domain, domain AS file, 'WARNING: ' || domai
 FROM cat WHERE domain NOT IN (SELECT DISTINCT file FROM pages)""")
 def q_missing_sources(spark, sf_dir):
     from quarry.sources.corpus import missing_sources
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     return missing_sources(t.catalog(), t.pages())
 
 
@@ -204,7 +204,7 @@ SELECT question_id, domain, domain IN (SELECT domain FROM cat) AS valid,
             ELSE 'Unknown domain ''' || domain || '''. Available: ' || (SELECT a FROM avail) END AS reason
 FROM questions""")
 def q_validate_requests(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     return search.validate(t.questions(), t.catalog()).select("question_id", "domain", "valid", "reason")
 
 
@@ -212,20 +212,20 @@ def q_validate_requests(spark, sf_dir):
 SELECT question_id, domain FROM questions WHERE trim(regexp_replace(question, '\\s+', ' ', 'g')) <> ''""")
 def q_drop_blank_questions(spark, sf_dir):
     from quarry.functions.text import is_blank
-    q = TestTables(spark, sf_dir).questions()
+    q = SourceTables(spark, sf_dir).questions()
     return q.where(~is_blank("question")).select("question_id", "domain")
 
 
 # ---------------------------------------------------------------- gate, routing, prompts, answers
 def _retrieved(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     return t, search.retrieve(t.questions(), t.collection(), t.catalog())
 
 
 @register("confidence_gate", f"WITH {RETRIEVE_CTE} SELECT question_id, domain, top_distance, confident, reason "
           "FROM retrieved WHERE top_distance IS NOT NULL")
 def q_confidence_gate(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     hits = search.hybrid_search(t.questions(), t.collection())
     top = hits.where(F.col("rank") == 0).select("question_id", "domain", F.col("distance").alias("top_distance"))
     conf, reason = search.gate(F.col("top_distance"))
@@ -335,6 +335,6 @@ def q_build_prompts(spark, sf_dir):
 SELECT question_id, domain, rank, coalesce(CAST(page AS VARCHAR), 'unknown') AS page_text,
        coalesce(distance, 1.0) AS distance FROM hybrid""")
 def q_default_fields(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     h = search.hybrid_search(t.questions(), t.collection())
     return answers.with_defaults(h).select("question_id", "domain", "rank", "page_text", "distance")

@@ -10,12 +10,12 @@ from quarry.plans import ingest as ingest_plan
 from quarry.plans import search
 from quarry.registry import BM25_CTE, PAGES_CTE, register
 from quarry.session import shared_dir
-from quarry.sources.testdata import TestTables
+from quarry.sources.testdata import SourceTables
 
 
 @register("load_pages", f"WITH {PAGES_CTE} SELECT domain, file, page, doc_id FROM pages")
 def q_load_pages(spark, sf_dir):
-    return TestTables(spark, sf_dir).pages().select("domain", "file", "page", F.col("_order").alias("doc_id"))
+    return SourceTables(spark, sf_dir).pages().select("domain", "file", "page", F.col("_order").alias("doc_id"))
 
 
 @register("enrich_chunks", f"""WITH {PAGES_CTE},
@@ -24,7 +24,7 @@ descr AS (SELECT * FROM (VALUES ('en', 'English documents — invented prose'),
           t(domain, description))
 SELECT c.domain, c.chunk_pos, d.description FROM corpus c JOIN descr d USING (domain)""")
 def q_enrich_chunks(spark, sf_dir):
-    return TestTables(spark, sf_dir).corpus().select("domain", "chunk_pos", "description")
+    return SourceTables(spark, sf_dir).corpus().select("domain", "chunk_pos", "description")
 
 
 def _catalogued_pages(t):
@@ -42,7 +42,7 @@ def q_chunk_recursive(spark, sf_dir):
     """C1 checked by invariants against the page text: first/last non-space characters,
     every chunk <= 1000 characters and a substring of its page, a page under 1000
     characters gives exactly one chunk."""
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     pages = _catalogued_pages(t)
     ch = chunking.chunk_recursive(pages)
     per = (ch.groupBy("domain", "page")
@@ -61,7 +61,7 @@ def q_chunk_recursive(spark, sf_dir):
 SELECT DISTINCT domain, true AS dense_ok, true AS order_ok FROM corpus""")
 def q_chunk_positions(spark, sf_dir):
     """C2 invariants: chunk_pos is 0..n-1 per domain and follows (page, chunk_no)."""
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     ch = chunking.with_positions(chunking.chunk_recursive(_catalogued_pages(t)))
     dense = ch.groupBy("domain").agg(
         ((F.min("chunk_pos") == 0) & (F.max("chunk_pos") == F.count(F.lit(1)) - 1)
@@ -79,14 +79,14 @@ SELECT domain, file, page, CAST(i AS INTEGER) AS chunk_no, substr(text, 800 * i
 FROM pages, range(0, CAST(greatest(1, ceil((length(text) - 200) / 800.0)) AS BIGINT)) r(i)
 WHERE domain IN (SELECT domain FROM cat) AND length(text) > 0""")
 def q_chunk_windows(spark, sf_dir):
-    return chunking.chunk_windows(_catalogued_pages(TestTables(spark, sf_dir)))
+    return chunking.chunk_windows(_catalogued_pages(SourceTables(spark, sf_dir)))
 
 
 @register("ingest_stats")
 def q_ingest_stats(spark, sf_dir):
     """Full ingest (recursive chunks, vectors, index) into the shared folder;
     per-domain pages, chunks, stored rows and the missing-source warning."""
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     return ingest_plan.ingest(t.pages(), t.catalog(), shared_dir(spark, "collection"))
 
 
@@ -94,7 +94,7 @@ def q_ingest_stats(spark, sf_dir):
 SELECT domain, chunk_pos, page, fkey, 64 AS dims FROM (SELECT *, substr(content, 1, 100) AS fkey FROM corpus)""")
 def q_collection_roundtrip(spark, sf_dir):
     """S3 + S4: write the collection partitioned by domain, read it back."""
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     root = shared_dir(spark, "collection")
     ingest_plan.write_collection(search.build_collection(t.corpus()), root)
     c = ingest_plan.read_collection(spark, root)
@@ -105,7 +105,7 @@ def q_collection_roundtrip(spark, sf_dir):
 @register("scan_domain", f"WITH {PAGES_CTE} SELECT domain, chunk_pos, page FROM corpus WHERE domain = 'fr'")
 def q_scan_domain(spark, sf_dir):
     """Open one domain of a written collection (partition-pruned scan)."""
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     root = shared_dir(spark, "collection")
     ingest_plan.write_collection(search.build_collection(t.corpus()), root)
     return ingest_plan.read_collection(spark, root, ["fr"]).chunks.select("domain", "chunk_pos", "page")
@@ -115,25 +115,25 @@ def q_scan_domain(spark, sf_dir):
 @register("tokenize", f"""WITH {BM25_CTE}
 SELECT domain, chunk_pos, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM toks""")
 def q_tokenize(spark, sf_dir):
-    c = TestTables(spark, sf_dir).corpus().select("domain", "chunk_pos", tokenize("content").alias("t"))
+    c = SourceTables(spark, sf_dir).corpus().select("domain", "chunk_pos", tokenize("content").alias("t"))
     return c.select("domain", "chunk_pos", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @register("postings", f"WITH {BM25_CTE} SELECT domain, chunk_pos, term, f, CAST(dl AS BIGINT) AS dl FROM post")
 def q_postings(spark, sf_dir):
-    return bm25.postings(TestTables(spark, sf_dir).corpus())
+    return bm25.postings(SourceTables(spark, sf_dir).corpus())
 
 
 @register("corpus_stats", f"WITH {BM25_CTE} SELECT domain, n AS n_chunks, round(avgdl, 9) AS avgdl FROM bstats")
 def q_corpus_stats(spark, sf_dir):
-    s = bm25.corpus_stats(bm25.raw_postings(TestTables(spark, sf_dir).corpus()))
+    s = bm25.corpus_stats(bm25.raw_postings(SourceTables(spark, sf_dir).corpus()))
     return s.select("domain", "n_chunks", F.round("avgdl", 9).alias("avgdl"))
 
 
 @register("term_idf", f"""WITH {BM25_CTE}
 SELECT i.domain, i.term, d.df, round(i.idf, 9) AS idf FROM idf i JOIN dfs d USING (domain, term)""")
 def q_term_idf(spark, sf_dir):
-    idx = bm25.build_index(TestTables(spark, sf_dir).corpus())
+    idx = bm25.build_index(SourceTables(spark, sf_dir).corpus())
     return idx.idf.select("domain", "term", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -150,7 +150,7 @@ FROM (SELECT question_id, domain, chunk_pos FROM matched UNION SELECT * FROM pad
 LEFT JOIN matched m USING (question_id, domain, chunk_pos)""")
 def q_bm25_scores(spark, sf_dir):
     """Scores of every candidate (matched chunks and zero-fill positions)."""
-    t = TestTables(spark, sf_dir)
+    t = SourceTables(spark, sf_dir)
     s = bm25.scores(t.questions(), bm25.build_index(t.corpus()))
     return s.select("question_id", "domain", "chunk_pos", F.round("score", 6).alias("score"))
 
@@ -159,7 +159,7 @@ def q_bm25_scores(spark, sf_dir):
 def q_vector_topk_lsh(spark, sf_dir):
     """Approximate neighbours by random-projection LSH (rows-only; recall vs the
     exact search is tested separately)."""
-    v = TestTables(spark, sf_dir).vectors()
+    v = SourceTables(spark, sf_dir).vectors()
     corpus = v.select("domain", "chunk_pos", F.col("embedding").alias("vec"))
     qs = v.select(F.col("chunk_pos").alias("question_id"), "domain", F.col("embedding").alias("qvec"),
                   F.col("chunk_pos").alias("self_pos"))

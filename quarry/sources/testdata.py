@@ -39,7 +39,7 @@ RESET_EVENT = "signup"
 TEST_ANSWER_PREFIX = "Answer to: "
 
 
-class TestTables:
+class SourceTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
