@@ -90,8 +90,7 @@ bm25top AS (
 @register("bm25_topk", f"WITH {BM25_CTE} SELECT * FROM bm25top")
 def q_bm25_topk(spark, sf_dir):
     t = SourceTables(spark, sf_dir)
-    idx = bm25.build_index(t.corpus())
-    return bm25.bm25_topk(t.questions(), idx)
+    return bm25.bm25_topk(t.questions(), t.collection().index)
 
 
 # ---------------------------------------------------------------- vectors

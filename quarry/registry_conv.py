@@ -278,10 +278,9 @@ def _test_answer_udf():
 
 
 def _batch(spark, sf_dir):
-    t, r = _retrieved(spark, sf_dir)
-    prompts = answers.build_prompts(r, t.catalog())
-    answered = answers.answer_with(prompts, _test_answer_udf())
-    return answers.route_answers(r, answered)
+    from quarry.plans.answer import answer_batch
+    t = SourceTables(spark, sf_dir)
+    return answer_batch(t.questions(), t.collection(), t.catalog(), _test_answer_udf())
 
 
 @register("route_answers", f"WITH {ANSWERED_CTE} SELECT question_id, domain, confident, answer, sources FROM routed")

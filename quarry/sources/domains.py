@@ -35,11 +35,22 @@ DEFAULT_DOMAINS = [
 ]
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def catalog(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    """The catalog as a DataFrame; ``ord`` keeps the declaration order."""
+    """The catalog as a DataFrame; ``ord`` keeps the declaration order.
+
+    Built as an inline VALUES table (a local relation compared by value), so every query
+    that joins the catalog has an identical plan and reuses cached results built on it.
+    """
     rows = DEFAULT_DOMAINS if rows is None else rows
-    data = [(r[0], i, *r[1:]) for i, r in enumerate(rows)]
-    return spark.createDataFrame(data, CATALOG_SCHEMA)
+    values = ", ".join("(" + ", ".join([_sql_str(r[0]), str(i)] + [_sql_str(x) for x in r[1:]]) + ")"
+                       for i, r in enumerate(rows))
+    cols = [c.split()[0] for c in CATALOG_SCHEMA.split(", ")]
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(cols)})")
+    return df.select(*[F.col(c).cast(t.split()[1]).alias(c) for c, t in zip(cols, CATALOG_SCHEMA.split(", "))])
 
 
 def list_domains(cat: DataFrame) -> DataFrame:

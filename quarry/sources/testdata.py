@@ -39,11 +39,22 @@ RESET_EVENT = "signup"
 TEST_ANSWER_PREFIX = "Answer to: "
 
 
+# Opened corpora / collections per (application, table folder): opened once per session
+# and reused by every query, as a served collection is.
+_OPENED: dict[tuple, object] = {}
+
+
 class SourceTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def _once(self, name: str, make):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _OPENED:
+            _OPENED[key] = make()
+        return _OPENED[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -55,12 +66,13 @@ class SourceTables:
 
     def corpus(self) -> DataFrame:
         """One chunk per page, catalogued domains with pages only."""
-        return corpus_src.pages_as_chunks(self.pages(), self.catalog()).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._once("corpus", lambda: corpus_src.pages_as_chunks(self.pages(), self.catalog())
+                          .persist(StorageLevel.MEMORY_AND_DISK))
 
     def collection(self):
         """Chunks + hash vectors + BM25 index of the corpus, cached for reuse."""
         from quarry.plans.search import build_collection
-        return build_collection(self.corpus()).persist()
+        return self._once("collection", lambda: build_collection(self.corpus()).persist())
 
     def questions(self) -> DataFrame:
         return corpus_src.questions_for_domains(self.table("benchmark"), "item_id", "text", REQUEST_DOMAINS)
