@@ -28,6 +28,7 @@ from quarry.functions.text import tokenize
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
+PAD_BLOCK = 1 << 16
 
 
 @dataclass
@@ -163,14 +164,23 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
                              F.least(F.col("n_chunks"), F.lit(k)))
                        .otherwise(F.least(F.col("n_chunks"), F.lit(k) + F.coalesce(F.col("_dfsum"), F.lit(0))))
                        .cast("int").alias("_pad"))
-              .where(F.col("_pad") > 0)
-              .select("question_id", "domain",
-                      F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_pad") - 1).cast("long"))).alias("chunk_pos"),
-                      F.lit(0.0).alias("v")))
+              .where(F.col("_pad") > 0))
+    # Two-level generation: block ids first (redistributed), then positions inside each
+    # block, so a large pad (eps < 0 with many matches) is produced by many tasks.
+    pb = PAD_BLOCK
+    n_parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pads = (pads.select("question_id", "domain", "_pad",
+                        F.explode(F.sequence(F.lit(0).cast("long"),
+                                             F.floor((F.col("_pad") - 1) / F.lit(pb)).cast("long"))).alias("_blk"))
+                .repartition(n_parts, "question_id", "domain", "_blk")
+                .select("question_id", "domain",
+                        F.explode(F.sequence(F.col("_blk") * pb,
+                                             F.least(F.col("_pad").cast("long"), (F.col("_blk") + 1) * pb) - 1))
+                         .alias("chunk_pos"),
+                        F.lit(0.0).alias("v")))
     # Pads are placed like the postings (hash of domain, chunk_pos), so the union keeps
     # that partitioning and the per-(question, chunk) sum runs without any shuffle; a
     # padded position that is also matched simply adds 0 to its real score.
-    n_parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pads = pads.repartition(n_parts, "domain", "chunk_pos")
     return (contrib.unionByName(pads)
                    .groupBy("question_id", "domain", "chunk_pos").agg(F.sum("v").alias("score")))

@@ -19,12 +19,14 @@ E4  ``vector_topk_lsh``: approximate search with Spark ML's bucketed random proj
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.broadcast import dim_broadcast
+from quarry.functions.broadcast import dim_broadcast, fits
 from quarry.functions.text import tokenize
 
 DIM = 64
@@ -127,54 +129,113 @@ def _block_topk_fn(k: int, digits: int | None, metric: str, exclude_self: bool):
                                  "domain": pd.Series([], dtype="object"),
                                  "chunk_pos": pd.Series([], dtype="int64"),
                                  "distance": pd.Series([], dtype="float64")})
-        domain = key[0]
         C = np.stack(corpus["vec"].to_numpy()).astype(np.float64)
         pos = corpus["chunk_pos"].to_numpy(dtype=np.int64)
         Q = np.stack(qs["qvec"].to_numpy()).astype(np.float64)
         qid = qs["question_id"].to_numpy(dtype=np.int64)
-        self_pos = qs["self_pos"].to_numpy() if exclude_self else None
-        n, d = C.shape
-        kk = min(k, n)
-        slab = max(1, int(4_000_000 // max(1, n * d)))
-        out_q, out_p, out_d = [], [], []
+        self_pos = qs["self_pos"].to_numpy(dtype=np.int64) if exclude_self else None
+        q, p, d = _local_topk(Q, qid, self_pos, C, pos, k, digits, metric)
+        return pd.DataFrame({"question_id": q, "domain": key[0], "chunk_pos": p, "distance": d})
+    return fn
+
+
+def _local_topk(Q, qid, self_pos, C, pos, k, digits, metric):
+    """Top k (distance, chunk_pos) per question of one corpus slice, ties by position."""
+    n, d = C.shape
+    kk = min(k, n)
+    slab = max(1, int(4_000_000 // max(1, n * d)))
+    out_q, out_p, out_d = [], [], []
+    if metric == "cosine":
+        cn = np.linalg.norm(C, axis=1, keepdims=True)
+        Cn = C / np.where(cn == 0, 1, cn)
+    for s in range(0, len(Q), slab):
+        q = Q[s:s + slab]
         if metric == "cosine":
-            Cn = C / np.where(np.linalg.norm(C, axis=1, keepdims=True) == 0, 1, np.linalg.norm(C, axis=1, keepdims=True))
-        for s in range(0, len(Q), slab):
-            q = Q[s:s + slab]
-            if metric == "cosine":
-                qn = q / np.where(np.linalg.norm(q, axis=1, keepdims=True) == 0, 1, np.linalg.norm(q, axis=1, keepdims=True))
-                dist = 1.0 - qn @ Cn.T
-            else:
-                diff = q[:, None, :] - C[None, :, :]
-                dist = np.einsum("ijk,ijk->ij", diff, diff)
-            if digits is not None:
-                dist = np.round(dist, digits)
-            if exclude_self:
-                dist = np.where(pos[None, :] == self_pos[s:s + slab, None].astype(np.int64), np.inf, dist)
-            # k-th smallest per row, then every candidate <= it (keeps ties), then
-            # order by (distance, chunk_pos) and keep k per row.
-            thr = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
-            rows, cols = np.nonzero(dist <= thr[:, None])
-            dv = dist[rows, cols]
-            order = np.lexsort((pos[cols], dv, rows))
-            rows, cols, dv = rows[order], cols[order], dv[order]
-            first = np.searchsorted(rows, rows, side="left")
-            keep = (np.arange(len(rows)) - first < kk) & np.isfinite(dv)
-            out_q.append(qid[s:s + slab][rows[keep]])
-            out_p.append(pos[cols[keep]])
-            out_d.append(dv[keep])
-        return pd.DataFrame({"question_id": np.concatenate(out_q), "domain": domain,
-                             "chunk_pos": np.concatenate(out_p), "distance": np.concatenate(out_d)})
+            qn = np.linalg.norm(q, axis=1, keepdims=True)
+            dist = 1.0 - (q / np.where(qn == 0, 1, qn)) @ Cn.T
+        else:
+            diff = q[:, None, :] - C[None, :, :]
+            dist = np.einsum("ijk,ijk->ij", diff, diff)
+        if digits is not None:
+            dist = np.round(dist, digits)
+        if self_pos is not None:
+            dist = np.where(pos[None, :] == self_pos[s:s + slab, None], np.inf, dist)
+        thr = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
+        rows, cols = np.nonzero(dist <= thr[:, None])
+        dv = dist[rows, cols]
+        order = np.lexsort((pos[cols], dv, rows))
+        rows, cols, dv = rows[order], cols[order], dv[order]
+        first = np.searchsorted(rows, rows, side="left")
+        keep = (np.arange(len(rows)) - first < kk) & np.isfinite(dv)
+        out_q.append(qid[s:s + slab][rows[keep]])
+        out_p.append(pos[cols[keep]])
+        out_d.append(dv[keep])
+    return np.concatenate(out_q), np.concatenate(out_p), np.concatenate(out_d)
+
+
+def _scan_topk_fn(bc, k: int, digits: int | None, metric: str):
+    """mapInPandas body: the broadcast question matrix per domain against the corpus rows
+    of this partition; a running top k per question is kept across Arrow batches and
+    emitted once per partition."""
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qs = bc.value
+        best: dict[str, tuple] = {}
+        for pdf in batches:
+            for dom, g in pdf.groupby("domain", sort=False):
+                if dom not in qs:
+                    continue
+                qid, Q, self_pos = qs[dom]
+                C = np.stack(g["vec"].to_numpy()).astype(np.float64)
+                pos = g["chunk_pos"].to_numpy(dtype=np.int64)
+                a = _local_topk(Q, qid, self_pos, C, pos, k, digits, metric)
+                if dom in best:
+                    b = best[dom]
+                    merged = tuple(np.concatenate([x, y]) for x, y in zip(b, a))
+                    order = np.lexsort((merged[1], merged[2], merged[0]))
+                    mq, mp, md = (x[order] for x in merged)
+                    first = np.searchsorted(mq, mq, side="left")
+                    keep = np.arange(len(mq)) - first < k
+                    a = (mq[keep], mp[keep], md[keep])
+                best[dom] = a
+        for dom, (q, p, d) in best.items():
+            yield pd.DataFrame({"question_id": q, "domain": dom, "chunk_pos": p, "distance": d})
     return fn
 
 
 def vector_candidates(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int | None = 6,
                       metric: str = "l2", exclude_self: bool = False, block_rows: int = 20_000,
-                      query_block_rows: int = 20_000) -> DataFrame:
-    """Local top k of every (corpus block, question block) pair.
+                      query_block_rows: int = 20_000, broadcast_values: int = 20_000_000) -> DataFrame:
+    """Local top k candidates per question (final cut by :func:`final_topk`).
 
     queries: (question_id, domain, qvec[, self_pos]); corpus: (domain, chunk_pos, vec).
+
+    * Question batch proven small (rows x dims <= ``broadcast_values``): the question
+      matrix is broadcast once per executor and the corpus is scanned where it lies
+      (``mapInPandas``, no shuffle of the corpus), keeping a running top k per partition.
+    * Otherwise: both sides are cut into blocks and every (domain, corpus block, question
+      block) is one cogroup task; nothing passes through the driver.
     """
+    qcols = ["question_id", "domain", "qvec"] + (["self_pos"] if exclude_self else [])
+    q_small = queries.select(*qcols)
+    dims = None
+    if fits(q_small, max(1, broadcast_values // 4096)):
+        qpdf = q_small.toPandas()   # bounded by the check above
+        dims = len(qpdf["qvec"].iloc[0]) if len(qpdf) else 0
+    if dims is not None and len(qpdf) * max(dims, 1) <= broadcast_values:
+        packed = {}
+        for dom, g in qpdf.groupby("domain", sort=False):
+            packed[dom] = (g["question_id"].to_numpy(dtype=np.int64),
+                           np.stack(g["qvec"].to_numpy()).astype(np.float64),
+                           g["self_pos"].to_numpy(dtype=np.int64) if exclude_self else None)
+        bc = queries.sparkSession.sparkContext.broadcast(packed)
+        return (corpus.select("domain", "chunk_pos", "vec")
+                      .mapInPandas(_scan_topk_fn(bc, k, digits, metric), _TOPK_SCHEMA))
+    return _block_candidates(queries, corpus, k, digits, metric, exclude_self, block_rows, query_block_rows)
+
+
+def _block_candidates(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None, metric: str,
+                      exclude_self: bool, block_rows: int, query_block_rows: int) -> DataFrame:
+    """Blocked exact search: local top k of every (corpus block, question block) pair."""
     # Fresh attribute ids on both inputs, so a table searched against itself is no
     # ambiguous self-join.
     corpus = corpus.select(*[F.col(c).alias(c) for c in corpus.columns])
@@ -211,11 +272,11 @@ def final_topk(cands: DataFrame, k: int = 10) -> DataFrame:
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int | None = 6,
                 metric: str = "l2", exclude_self: bool = False, block_rows: int = 20_000,
-                query_block_rows: int = 20_000) -> DataFrame:
+                query_block_rows: int = 20_000, broadcast_values: int = 20_000_000) -> DataFrame:
     """(question_id, domain, rank, chunk_pos, distance), ascending distance, ties by
     corpus position, ``rank`` 0-based."""
     return final_topk(vector_candidates(queries, corpus, k, digits, metric, exclude_self,
-                                        block_rows, query_block_rows), k)
+                                        block_rows, query_block_rows, broadcast_values), k)
 
 
 def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int | None = 6,
