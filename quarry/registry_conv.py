@@ -337,3 +337,21 @@ def q_default_fields(spark, sf_dir):
     t = SourceTables(spark, sf_dir)
     h = search.hybrid_search(t.questions(), t.collection())
     return answers.with_defaults(h).select("question_id", "domain", "rank", "page_text", "distance")
+
+
+@register("valid_requests", f"WITH {PAGES_CTE} SELECT question_id, domain FROM questions "
+          "WHERE domain IN (SELECT domain FROM cat)")
+def q_valid_requests(spark, sf_dir):
+    """Requests whose domain is in the catalog (left semi join)."""
+    t = SourceTables(spark, sf_dir)
+    return t.questions().join(F.broadcast(t.catalog().select("domain")), "domain", "left_semi") \
+            .select("question_id", "domain")
+
+
+@register("invalid_requests", f"WITH {PAGES_CTE} SELECT question_id, domain FROM questions "
+          "WHERE domain NOT IN (SELECT domain FROM cat)")
+def q_invalid_requests(spark, sf_dir):
+    """Requests for an unknown domain (left anti join)."""
+    t = SourceTables(spark, sf_dir)
+    return t.questions().join(F.broadcast(t.catalog().select("domain")), "domain", "left_anti") \
+            .select("question_id", "domain")
