@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +89,16 @@ def corpus_stats(raw: DataFrame) -> DataFrame:
                               .agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.col("dl").cast("double")).alias("avgdl")))
 
 
-def term_idf(post: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+def term_idf(post: DataFrame, stats: DataFrame, persist: bool = False) -> tuple[DataFrame, DataFrame]:
     """Raw idf ln(N-df+0.5) - ln(df+0.5); negatives replaced by the domain's eps.
-    Returns (idf table, stats with eps)."""
+    Returns (idf table, stats with eps). ``persist`` keeps the per-term table that both
+    outputs derive from, so document frequencies are counted once."""
     df = post.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df"))
     raw = (df.join(dim_broadcast(stats.select("domain", "n_chunks")), "domain")
              .withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + F.lit(0.5))
                          - F.log(F.col("df") + F.lit(0.5))))
+    if persist:
+        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     eps = raw.groupBy("domain").agg((F.lit(EPSILON) * F.avg("raw")).alias("eps"))
     idf = (raw.join(dim_broadcast(eps), "domain")
               .select("domain", "term", F.col("df").cast("long").alias("df"),
@@ -113,9 +117,9 @@ def weighted_postings(post: DataFrame, idf: DataFrame, stats: DataFrame) -> Data
                 .select("domain", "chunk_pos", "term", "f", "dl", (F.col("idf") * tf_part).alias("w")))
 
 
-def index_from_raw(raw: DataFrame) -> BM25Index:
+def index_from_raw(raw: DataFrame, persist: bool = True) -> BM25Index:
     post = postings(raw)
-    idf, stats = term_idf(post, corpus_stats(raw))
+    idf, stats = term_idf(post, corpus_stats(raw), persist=persist)
     return BM25Index(post, stats, idf)
 
 
