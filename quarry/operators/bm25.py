@@ -159,29 +159,39 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
                     .select("question_id", "domain", "chunk_pos",
                             (F.col("qtf") * F.col("idf") * tf_part).alias("v")))
     st = dim_broadcast(index.stats)
-    dfsum = qidf.groupBy("question_id", "domain").agg(F.sum("df").alias("_dfsum"))
     qs = questions.select("question_id", "domain").distinct()
-    pads = (qs.join(st, "domain")
-              .join(dfsum, ["question_id", "domain"], "left")
-              .select("question_id", "domain",
-                      F.when(F.coalesce(F.col("eps"), F.lit(0.0)) >= 0,
-                             F.least(F.col("n_chunks"), F.lit(k)))
-                       .otherwise(F.least(F.col("n_chunks"), F.lit(k) + F.coalesce(F.col("_dfsum"), F.lit(0))))
-                       .cast("int").alias("_pad"))
-              .where(F.col("_pad") > 0))
-    # Two-level generation: block ids first (redistributed), then positions inside each
-    # block, so a large pad (eps < 0 with many matches) is produced by many tasks.
-    pb = PAD_BLOCK
     n_parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pads = (pads.select("question_id", "domain", "_pad",
-                        F.explode(F.sequence(F.lit(0).cast("long"),
-                                             F.floor((F.col("_pad") - 1) / F.lit(pb)).cast("long"))).alias("_blk"))
-                .repartition(n_parts, "question_id", "domain", "_blk")
-                .select("question_id", "domain",
-                        F.explode(F.sequence(F.col("_blk") * pb,
-                                             F.least(F.col("_pad").cast("long"), (F.col("_blk") + 1) * pb) - 1))
-                         .alias("chunk_pos"),
-                        F.lit(0.0).alias("v")))
+    # One row per domain: whether any domain floors idf with a negative eps decides
+    # whether pads depend on the question's matches (rare) or are just the first k.
+    if index.stats.where(F.col("eps") < 0).limit(1).count() == 0:
+        pads = (qs.join(st, "domain")
+                  .select("question_id", "domain",
+                          F.explode(F.sequence(F.lit(0).cast("long"),
+                                               F.least(F.col("n_chunks"), F.lit(k)).cast("long") - 1))
+                           .alias("chunk_pos"),
+                          F.lit(0.0).alias("v")))
+    else:
+        dfsum = qidf.groupBy("question_id", "domain").agg(F.sum("df").alias("_dfsum"))
+        pads = (qs.join(st, "domain")
+                  .join(dfsum, ["question_id", "domain"], "left")
+                  .select("question_id", "domain",
+                          F.when(F.coalesce(F.col("eps"), F.lit(0.0)) >= 0,
+                                 F.least(F.col("n_chunks"), F.lit(k)))
+                           .otherwise(F.least(F.col("n_chunks"), F.lit(k) + F.coalesce(F.col("_dfsum"), F.lit(0))))
+                           .cast("long").alias("_pad"))
+                  .where(F.col("_pad") > 0))
+        # Two-level generation: block ids first (redistributed), then positions inside
+        # each block, so a large pad is produced by many tasks.
+        pb = PAD_BLOCK
+        pads = (pads.select("question_id", "domain", "_pad",
+                            F.explode(F.sequence(F.lit(0).cast("long"),
+                                                 F.floor((F.col("_pad") - 1) / F.lit(pb)).cast("long"))).alias("_blk"))
+                    .repartition(n_parts, "question_id", "domain", "_blk")
+                    .select("question_id", "domain",
+                            F.explode(F.sequence(F.col("_blk") * pb,
+                                                 F.least(F.col("_pad"), (F.col("_blk") + 1) * pb) - 1))
+                             .alias("chunk_pos"),
+                            F.lit(0.0).alias("v")))
     # Pads are placed like the postings (hash of domain, chunk_pos), so the union keeps
     # that partitioning and the per-(question, chunk) sum runs without any shuffle; a
     # padded position that is also matched simply adds 0 to its real score.
