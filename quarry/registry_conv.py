@@ -135,6 +135,19 @@ def q_chat_history(spark, sf_dir):
                     F.to_json("history").alias("history"))
 
 
+@register("chat_history_last", """
+SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq,
+       CAST(count(*) OVER w AS BIGINT) AS history_len,
+       coalesce(to_json(list(struct_pack(role := role, content := text)) OVER w)::VARCHAR, '[]') AS history
+FROM conversations
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
+def q_chat_history_last(spark, sf_dir):
+    """W2 with the optional last-n history (n = 4), computed bucket-locally."""
+    h = sessions.chat_history_last(SourceTables(spark, sf_dir).messages(), 4, width=8)
+    return h.select("session_id", "seq", F.size("history").cast("long").alias("history_len"),
+                    F.to_json("history").alias("history"))
+
+
 @register("history_with_reset", f"""WITH {EVENTS_CTE},
 ep AS (
   SELECT *, CAST(sum(CASE WHEN domain = 'signup' THEN 1 ELSE 0 END)
