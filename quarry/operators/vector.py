@@ -100,6 +100,17 @@ def model_embed(df: DataFrame, text_col: str, make_model, dim: int, out: str = "
     return df.withColumn(out, udf(F.col(text_col)))
 
 
+def encoder(make_model, dim: int, batch_size: int = 256):
+    """Adapter for :func:`quarry.plans.search.build_collection` / ``hybrid_search``:
+    returns ``embed(df, key_cols, text_col) -> (key_cols..., vector)``, naming the vector
+    ``vec`` for chunks and ``qvec`` for questions."""
+    def embed(df: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
+        out = "qvec" if "question_id" in key_cols else "vec"
+        e = model_embed(df.select(*key_cols, text_col), text_col, make_model, dim, out=out, batch_size=batch_size)
+        return e.select(*key_cols, out)
+    return embed
+
+
 def sq_l2(a, b) -> Column:
     """Squared L2 distance of two array columns, in double."""
     a = F.col(a) if isinstance(a, str) else a

@@ -61,8 +61,12 @@ def _maybe(df: DataFrame, small: bool) -> DataFrame:
 
 
 def question_vectors(questions: DataFrame, dim: int = vector.DIM, embed=None) -> DataFrame:
+    """Questions embedded with the same encoder as the chunks (hash encoder by default)."""
     emb = embed or (lambda df, keys, text: vector.hash_embed(df, keys, text, dim, out="qvec"))
-    return emb(questions, ["question_id", "domain"], "question").select("question_id", "domain", "qvec")
+    v = emb(questions, ["question_id", "domain"], "question")
+    if "qvec" not in v.columns:
+        v = v.withColumnRenamed("vec", "qvec")
+    return v.select("question_id", "domain", "qvec")
 
 
 def vector_arm(questions: DataFrame, coll: Collection, k: int = 10, embed=None,

@@ -179,3 +179,27 @@ def test_confidence_rate_rounding(spark):
     got = {r["domain"]: (r["confident_count"], r["total"], r["confidence_rate_pct"])
            for r in reports.confidence_rate(df).collect()}
     assert got["a"] == (9, 80, 11.3) and got["b"] == (1, 16, 6.3) and got["c"] == (1, 2, 50.0)
+
+
+def _toy_model():
+    import numpy as np
+
+    def f(texts):
+        # deterministic stand-in encoder: letter histogram, L2-normalised
+        out = np.zeros((len(texts), 26))
+        for i, t in enumerate(texts):
+            for ch in (t or "").lower():
+                if "a" <= ch <= "z":
+                    out[i, ord(ch) - 97] += 1
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(n == 0, 1, n)
+    return f
+
+
+def test_pluggable_encoder_in_hybrid_search(spark):
+    from quarry.operators import vector
+    enc = vector.encoder(_toy_model, 26)
+    coll = search.build_collection(_chunks(spark, CORPUS), embed=enc)
+    assert len(coll.vectors.first()["vec"]) == 26
+    hits = search.hybrid_search(_questions(spark, ["data privacy law"]), coll, embed=enc).orderBy("rank").collect()
+    assert len(hits) == 5 and hits[0]["chunk_pos"] == 3
