@@ -48,6 +48,8 @@ class SourceTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        # Log days and ISO timestamps are UTC by definition (as in the original).
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def _once(self, name: str, make):
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
