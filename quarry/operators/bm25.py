@@ -38,8 +38,11 @@ class BM25Index:
     stats: DataFrame           # domain, n_chunks, avgdl, eps
     idf: DataFrame             # domain, term, df, idf
 
-    def persist(self) -> "BM25Index":
-        return BM25Index(self.postings.persist(), self.stats.persist(), self.idf.persist())
+    def persist(self, postings: bool = True) -> "BM25Index":
+        """Cache the index tables; ``postings=False`` when they are a cheap filter over an
+        already cached raw-postings table (the filter keeps its partitioning)."""
+        return BM25Index(self.postings.persist() if postings else self.postings,
+                         self.stats.persist(), self.idf.persist())
 
     def write(self, path: str) -> None:
         self.postings.write.mode("overwrite").partitionBy("domain").parquet(f"{path}/postings")

@@ -35,9 +35,12 @@ class Collection:
     vectors: DataFrame         # domain, chunk_pos, vec
     index: bm25.BM25Index
 
+    raw_cached: bool = False   # postings are a filter over cached raw postings
+
     def persist(self) -> "Collection":
         lvl = StorageLevel.MEMORY_AND_DISK
-        return Collection(self.chunks.persist(lvl), self.vectors.persist(lvl), self.index.persist())
+        return Collection(self.chunks.persist(lvl), self.vectors.persist(lvl),
+                          self.index.persist(postings=not self.raw_cached), self.raw_cached)
 
 
 def build_collection(chunks: DataFrame, dim: int = vector.DIM, embed=None, persist: bool = True) -> Collection:
@@ -53,7 +56,8 @@ def build_collection(chunks: DataFrame, dim: int = vector.DIM, embed=None, persi
         vecs = vector.embed_postings(raw, dim, out="vec")
     else:
         vecs = embed(chunks, ["domain", "chunk_pos"], "content")
-    return Collection(chunks, vecs.select("domain", "chunk_pos", "vec"), bm25.index_from_raw(raw))
+    return Collection(chunks, vecs.select("domain", "chunk_pos", "vec"), bm25.index_from_raw(raw),
+                      raw_cached=persist)
 
 
 def _maybe(df: DataFrame, small: bool) -> DataFrame:
