@@ -89,3 +89,13 @@ def test_lsh_recall(spark):
     approx = {(r["question_id"], r["chunk_pos"]) for r in vector.vector_topk_lsh(qs, corpus, exclude_self=True).collect()}
     assert approx <= exact | approx
     assert len(approx & exact) / len(exact) > 0.3
+
+
+def test_partitioning_does_not_change_hybrid_result(spark):
+    t = SourceTables(spark, SF_SMALL)
+    q = t.questions()
+    base = t.corpus()
+    shuffled = base.repartition(5, "content").sortWithinPartitions(F.rand(7))
+    a = search.hybrid_search(q, search.build_collection(base, persist=False)).collect()
+    b = search.hybrid_search(q, search.build_collection(shuffled, persist=False)).collect()
+    assert sorted(a) == sorted(b)
