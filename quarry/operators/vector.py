@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.broadcast import dim_broadcast, fits
+from quarry.functions.broadcast import dim_broadcast
 from quarry.functions.text import tokenize
 
 DIM = 64
@@ -227,12 +227,12 @@ def vector_candidates(queries: DataFrame, corpus: DataFrame, k: int = 10, digits
       block) is one cogroup task; nothing passes through the driver.
     """
     qcols = ["question_id", "domain", "qvec"] + (["self_pos"] if exclude_self else [])
-    q_small = queries.select(*qcols)
-    dims = None
-    if fits(q_small, max(1, broadcast_values // 4096)):
-        qpdf = q_small.toPandas()   # bounded by the check above
-        dims = len(qpdf["qvec"].iloc[0]) if len(qpdf) else 0
-    if dims is not None and len(qpdf) * max(dims, 1) <= broadcast_values:
+    q = queries.select(*qcols)
+    # Exact size of the batch in vector values (one aggregate, one number back); only a
+    # batch within the budget is brought to the driver for broadcasting.
+    total = q.select(F.coalesce(F.sum(F.greatest(F.size("qvec"), F.lit(1))), F.lit(0))).first()[0]
+    if total <= broadcast_values:
+        qpdf = q.toPandas()
         packed = {}
         for dom, g in qpdf.groupby("domain", sort=False):
             packed[dom] = (g["question_id"].to_numpy(dtype=np.int64),
