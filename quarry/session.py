@@ -49,15 +49,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
-    """A folder every executor can reach: ``spark.checkpoint.dir`` when the cluster
-    names one. Only when it is unset (local runs, tests) a private folder is created
-    and registered as the checkpoint dir. Returns a fresh sub-folder when ``sub``
+    """A folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names
+    it. Only in local mode, when it is unset (tests), a private folder is created and
+    registered; on a cluster an unset value is an error. Returns a fresh sub-folder when ``sub``
     is given so concurrent jobs never share output paths.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            # A folder on the driver's disk is not visible to executors.
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
