@@ -109,17 +109,6 @@ def term_idf(post: DataFrame, stats: DataFrame, persist: bool = False) -> tuple[
     return idf, stats.join(eps, "domain", "left")
 
 
-def weighted_postings(post: DataFrame, idf: DataFrame, stats: DataFrame) -> DataFrame:
-    """Postings with the precomputed BM25 term weight
-    ``w = idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl))``: scoring a question is
-    then a join on (domain, term) and a sum of ``qtf * w``."""
-    tf_part = (F.col("f") * F.lit(K1 + 1.0)
-               / (F.col("f") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))))
-    return (post.join(idf.select("domain", "term", "idf"), ["domain", "term"])
-                .join(dim_broadcast(stats.select("domain", "avgdl")), "domain")
-                .select("domain", "chunk_pos", "term", "f", "dl", (F.col("idf") * tf_part).alias("w")))
-
-
 def index_from_raw(raw: DataFrame, persist: bool = True) -> BM25Index:
     post = postings(raw)
     idf, stats = term_idf(post, corpus_stats(raw), persist=persist)

@@ -60,10 +60,6 @@ def build_collection(chunks: DataFrame, dim: int = vector.DIM, embed=None, persi
                       raw_cached=persist)
 
 
-def _maybe(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
 def question_vectors(questions: DataFrame, dim: int = vector.DIM, embed=None) -> DataFrame:
     """Questions embedded with the same encoder as the chunks (hash encoder by default)."""
     emb = embed or (lambda df, keys, text: vector.hash_embed(df, keys, text, dim, out="qvec"))

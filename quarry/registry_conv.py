@@ -76,10 +76,7 @@ SELECT event_id, to_json(struct_pack(
   confident := confident))::VARCHAR AS json
 FROM turns""")
 def q_to_json_log(spark, sf_dir):
-    log = SourceTables(spark, sf_dir).query_log()
-    rec = F.struct(querylog.iso_utc("timestamp").alias("timestamp"), "session_id", "domain", "question",
-                   "answer", "confident")
-    return log.select("event_id", F.to_json(rec, {"ignoreNullFields": "false"}).alias("json"))
+    return querylog.to_json_line(SourceTables(spark, sf_dir).query_log(), keep=["event_id"])
 
 
 @register("log_roundtrip", f"""WITH {EVENTS_CTE}
@@ -249,7 +246,6 @@ CTX_SQL = """string_agg('[Source ' || (h.rank + 1) || ' | Page ' || coalesce(CAS
                   || ']' || chr(10) || h.content, chr(10) || chr(10) ORDER BY h.rank)"""
 ANSWERED_CTE = RETRIEVE_CTE + f""",
 ctx AS (SELECT h.question_id, h.domain, {CTX_SQL} AS context,
-               string_agg(DISTINCT CAST(h.page AS VARCHAR), ',' ORDER BY CAST(h.page AS VARCHAR)) AS _unused,
                list_sort(list_distinct(list(h.page))) AS pages
         FROM hybrid h GROUP BY h.question_id, h.domain),
 routed AS (

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import py_list_literal
 
 CATALOG_SCHEMA = ("domain string, ord int, file string, description string, context string, "
                   "label string, short_desc string, tag string")
@@ -57,9 +56,3 @@ def list_domains(cat: DataFrame) -> DataFrame:
     """Keys and descriptions, in catalog order (``get_domains``)."""
     return cat.select("ord", "domain", "description")
 
-
-def available_text(cat: DataFrame) -> DataFrame:
-    """One row: the Python-style list of domain keys used in 'Unknown domain' reasons."""
-    return cat.agg(
-        py_list_literal(F.transform(F.sort_array(F.collect_list(F.struct("ord", "domain"))),
-                                    lambda s: s["domain"])).alias("available"))

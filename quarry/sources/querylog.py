@@ -35,11 +35,12 @@ def to_log_records(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) for c in LOG_COLUMNS]).withColumn("log_date", log_day("timestamp"))
 
 
-def to_json_line(df: DataFrame) -> DataFrame:
-    """One JSON object per record (nulls kept), as appended to the day's object."""
+def to_json_line(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One JSON object per record (nulls kept), as appended to the day's object;
+    ``keep`` columns are carried alongside."""
     rec = F.struct(iso_utc("timestamp").alias("timestamp"), "session_id", "domain", "question",
                    "answer", "confident")
-    return df.select(F.to_json(rec, {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(*(keep or []), F.to_json(rec, {"ignoreNullFields": "false"}).alias("json"))
 
 
 # Microsecond timestamps survive the JSON round trip (Spark's default keeps milliseconds).
