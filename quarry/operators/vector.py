@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,12 +228,20 @@ def vector_candidates(queries: DataFrame, corpus: DataFrame, k: int = 10, digits
       block) is one cogroup task; nothing passes through the driver.
     """
     qcols = ["question_id", "domain", "qvec"] + (["self_pos"] if exclude_self else [])
+    # Kept only for the size check and the read below; the plan returned does not use it.
     q = queries.select(*qcols)
-    # Exact size of the batch in vector values (one aggregate, one number back); only a
-    # batch within the budget is brought to the driver for broadcasting.
-    total = q.select(F.coalesce(F.sum(F.greatest(F.size("qvec"), F.lit(1))), F.lit(0))).first()[0]
-    if total <= broadcast_values:
-        qpdf = q.toPandas()
+    ours = q.storageLevel == StorageLevel.NONE   # never drop a cache the caller owns
+    if ours:
+        q = q.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # Exact size of the batch in vector values (one aggregate, one number back); only a
+        # batch within the budget is brought to the driver for broadcasting.
+        total = q.select(F.coalesce(F.sum(F.greatest(F.size("qvec"), F.lit(1))), F.lit(0))).first()[0]
+        qpdf = q.toPandas() if total <= broadcast_values else None
+    finally:
+        if ours:
+            q.unpersist()
+    if qpdf is not None:
         packed = {}
         for dom, g in qpdf.groupby("domain", sort=False):
             packed[dom] = (g["question_id"].to_numpy(dtype=np.int64),
