@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES):
     n = batch.num_rows
     if not n:
         return
-    lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+    lens = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     at, total = 0, 0
     for i in range(n):
         if i > at and total + lens[i] > limit:

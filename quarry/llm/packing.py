@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import common
 from quarry.llm.tokens import UnitEncoder, tokenizer_path
@@ -114,7 +115,7 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_docs: int | None = None,
     max_cost = max_cost or max_tokens * max_tokens
     keys = [c for c, kind in pieces.dtypes if not kind.startswith(("array", "map", "struct"))]
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("long"))
-    out = dealt.schema.add("sequence_id", "long").add("offset", "long")
+    out = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         place, offset, _ = best_fit(frame["length"].to_numpy(np.int64), max_tokens, max_docs, max_cost, weights, rule)
