@@ -45,15 +45,15 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES):
-    """Cut a batch into runs of whole rows of at most ``limit`` text bytes (or one row)."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 16):
+    """Cut a batch into runs of at most ``rows`` whole rows and ``limit`` text bytes (or one row)."""
     n = batch.num_rows
     if not n:
         return
     lens = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     at, total = 0, 0
     for i in range(n):
-        if i > at and total + lens[i] > limit:
+        if i > at and (total + lens[i] > limit or i - at >= rows):
             yield batch.slice(at, i - at)
             at, total = i, 0
         total += lens[i]
