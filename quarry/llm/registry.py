@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import packing
+from quarry.llm import fingerprint, packing, quality
 
 QUERIES = {
+    "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op9_quality_classifier": quality.op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
