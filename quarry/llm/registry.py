@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import fingerprint, packing, quality
+from quarry.llm import fingerprint, html_text, packing, quality, token_files
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op6_html_extraction": html_text.op6_html_extraction,
+    "op8_token_files": token_files.op8_token_files,
     "op9_quality_classifier": quality.op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
