@@ -60,6 +60,14 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES,
     yield batch.slice(at, n - at)
 
 
+def run_hashes(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes; run i begins at ``at[i]``, the last ends with ``body``."""
+    lens = np.diff(np.append(at, len(body)))
+    place = np.arange(len(body)) - np.repeat(at, lens)
+    h = np.add.reduceat((body.astype(np.uint64) + np.uint64(1)) * powers(int(lens.max()))[place], at)
+    return mix64(h + lens.astype(np.uint64) * _Q)
+
+
 def words(raw: np.ndarray, off: np.ndarray, lower: bool = False):
     """(hash of each word, word count of each text) for texts laid end to end."""
     n = len(off) - 1
@@ -76,11 +84,9 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool = False):
     at = np.flatnonzero(first[solid])
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    lens = np.diff(np.append(at, len(body)))
-    place = np.arange(len(body)) - np.repeat(at, lens)
-    h = np.add.reduceat((body.astype(np.uint64) + np.uint64(1)) * powers(int(lens.max()))[place], at)
+    h = run_hashes(body, at)
     seen = np.concatenate(([0], np.cumsum(first)))
-    return mix64(h + lens.astype(np.uint64) * _Q), np.diff(seen[off])
+    return h, np.diff(seen[off])
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, size: int = SHINGLE):

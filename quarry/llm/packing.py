@@ -41,27 +41,26 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
     return out + [(s, limit) for s in range(head, n, limit)]
 
 
-def tokenized_pieces(docs: DataFrame, path: str, end_id: int, limit: int, keeps_space: bool = True,
-                     with_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids: bool = False) -> DataFrame:
     """One row per piece of every document; ``with_ids`` adds the ids (array<int>)."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = UnitEncoder(path, keeps_space)
-        tail = np.array([end_id], "<u4").tobytes()
+        enc = UnitEncoder(path)
+        tail = np.array([end_id], "<u4")
         for big in batches:
-            for b in common.slices(big):
+            for b in common.slices(big, limit=2 << 20):
                 rows: list[list] = [[] for _ in names]
-                texts = b.column("text").fill_null("").to_pylist()
-                for doc, ids in zip(b.column("doc_id").to_pylist(), enc.ids(texts), strict=True):
-                    ids += tail
-                    parts = cut(len(ids) // 4, limit)
+                flat, off = enc.ids(b.column("text"))
+                for doc, lo, hi in zip(b.column("doc_id").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                    ids = np.concatenate((flat[lo:hi], tail))
+                    parts = cut(len(ids), limit)
                     for k, (s, n) in enumerate(parts):
-                        own = ids[4 * s:4 * (s + n)]
-                        one = [doc, k, s, n, zlib.crc32(own), len(parts)]
+                        own = ids[s:s + n]
+                        one = [doc, k, s, n, zlib.crc32(own.tobytes()), len(parts)]
                         if with_ids:
-                            one.append(np.frombuffer(own, "<u4").astype(np.int32))
+                            one.append(own.astype(np.int32))
                         for c, v in zip(rows, one, strict=True):
                             c.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
@@ -128,10 +127,10 @@ def shards_for(docs: DataFrame, docs_per_shard: int) -> int:
     return max(1, -(-docs.count() // docs_per_shard))
 
 
-def pack_documents(docs: DataFrame, path: str, max_tokens: int = 1024, end_id: int = 2, keeps_space: bool = True,
+def pack_documents(docs: DataFrame, path: str, max_tokens: int = 1024, end_id: int = 2,
                    docs_per_shard: int = 50_000, with_ids: bool = False, **capacities) -> DataFrame:
     """Tokenise, cut and pack ``docs(doc_id, text)``: one row per piece."""
-    p = tokenized_pieces(docs, path, end_id, max_tokens, keeps_space, with_ids)
+    p = tokenized_pieces(docs, path, end_id, max_tokens, with_ids)
     return pack(p, max_tokens, shards=shards_for(docs, docs_per_shard), **capacities)
 
 

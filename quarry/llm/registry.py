@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import fingerprint, html_text, packing, quality, token_files
+from quarry.llm import fingerprint, html_text, mixing, packing, prob_minhash, quality, token_files
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op5_temperature_mixing": mixing.op5_temperature_mixing,
     "op6_html_extraction": html_text.op6_html_extraction,
     "op8_token_files": token_files.op8_token_files,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_minhash_near_dedup": prob_minhash.op10_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_temperature_mixing": mixing.OP5_SQL}

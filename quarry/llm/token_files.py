@@ -50,23 +50,23 @@ def shard_files(folder: str, shard: int) -> tuple[str, str]:
     return f"{folder}/{shard:06d}.bin", f"{folder}/{shard:06d}.idx"
 
 
-def write_shard(folder: str, shard: int, docs: list[int | None], ids: list[bytes], width: int) -> int:
-    """Write one shard from little-endian 32-bit ids; returns its number of ids."""
-    counts = np.array([len(x) // 4 for x in ids], np.int64)
+def write_shard(folder: str, shard: int, docs: list[int | None], parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> int:
+    """Write one shard from (ids end to end, ids of each document) parts; returns its number of ids."""
+    counts = np.concatenate([n for _, n in parts])
     os.makedirs(folder, exist_ok=True)
-    for path, parts in zip(shard_files(folder, shard), (
-            (np.frombuffer(x, "<u4").astype(f"<u{width}") for x in ids),
+    for path, arrays in zip(shard_files(folder, shard), (
+            (ids.astype(f"<u{width}") for ids, _ in parts),
             (np.concatenate(([0], np.cumsum(counts))).astype("<i8"),
              np.array([_NO_ID if d is None else d for d in docs], "<i8"))), strict=True):
         own = f"{path}.{uuid.uuid4().hex}"
         with open(own, "wb") as f:
-            for p in parts:
+            for p in arrays:
                 f.write(p.tobytes())
         os.replace(own, path)
     return int(counts.sum())
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, keeps_space: bool, width: int = 2,
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, width: int = 2,
                  shard_bytes: int = SHARD_BYTES) -> list[tuple[int, int, int, int]]:
     """Encode and write ``docs(doc_id, text)``; returns the manifest (shard, documents,
     tokens, base), a row a shard."""
@@ -81,11 +81,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, keeps_spa
         doc, text = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
         shard = t.column("shard")[0].as_py()
         at = sorted(range(len(doc)), key=lambda i: (_NO_ID if doc[i] is None else doc[i], text[i]))
-        enc, tail = UnitEncoder(path, keeps_space), np.array([end_id], "<u4").tobytes()
-        ids: list[bytes] = []
-        for a in range(0, len(at), 1024):
-            ids += [x + tail for x in enc.ids([text[i] for i in at[a:a + 1024]])]
-        n = write_shard(folder, shard, [doc[i] for i in at], ids, width)
+        enc, parts = UnitEncoder(path), []
+        batch = pa.RecordBatch.from_arrays([pa.array([text[i] for i in at], pa.large_string())], ["text"])
+        for b in common.slices(batch, limit=2 << 20):
+            flat, off = enc.ids(b.column("text"))
+            parts.append((np.insert(flat, off[1:], end_id), np.diff(off) + 1))
+        n = write_shard(folder, shard, [doc[i] for i in at], parts, width)
         return pa.table([[shard], [len(at)], [n]], schema=kinds)
 
     got = docs.withColumn("shard", common.part_of(key, bounds)).groupBy("shard").applyInArrow(run, MANIFEST).collect()
@@ -127,6 +128,5 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[tuple[int, int,
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
-    manifest = write_tokens(common.table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"),
-                            end_id=1, keeps_space=False)
+    manifest = write_tokens(common.table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return read_tokens(spark, folder, manifest)

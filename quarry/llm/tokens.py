@@ -1,26 +1,25 @@
 """Token ids of whole texts with a public tokenizer file, cached by unit inside a task.
 
-A text is cut where the file's pre-tokenizer always cuts (before a space or line feed that
-follows a character which is not white space); each distinct unit is encoded once by the
-tokenizers library and the ids of a text are the joined ids of its units. The strings of
-special tokens in a text are ordinary text. Tokenizers are read from a path, never trained.
+A text is cut where the file's pre-tokenizer always cuts: before a space or line feed that
+follows a character which is surely not white space. Units are found and hashed (64 bits) on
+the UTF-8 bytes of a whole Arrow slice; each distinct unit is encoded once by the tokenizers
+library and the ids of a text are the ids of its units end to end. The strings of special
+tokens in a text are ordinary text. Tokenizers are read from a path, never trained.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+
+from quarry.llm import common
 
-#: Keeps leading white space with the unit, as byte-level files do.
-_SPACED = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-#: For files that drop white space.
-_BARE = re.compile(r"[^ \n]+")
 #: Distinct units kept before the cache of a task starts anew (bounded memory).
 CACHE_UNITS = 1_000_000
-#: Longer units (no white space for long) are encoded without being kept.
-CACHE_CHARS = 64
+#: Units encoded by one call, with a special token between them.
+JOINED = 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,31 +27,80 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def unit_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """First byte of every unit; each text begins one."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    prev = np.concatenate((raw[:1], raw[:-1]))
+    lead = np.concatenate((raw[:1], raw[:1], raw[:-2]))[:len(raw)]
+    # ASCII letters and signs, or a two-byte character from U+00C0 on: none is white space.
+    solid = ((prev > 32) & (prev < 127)) | ((prev >= 0x80) & (prev < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))
+    cut = ((raw == 32) | (raw == 10)) & solid
+    cut[off[:-1][off[:-1] < len(raw)]] = True
+    return np.flatnonzero(cut)
+
+
 class UnitEncoder:
-    """ids(text) -> little-endian unsigned 32-bit ids as bytes."""
+    """ids(column) -> little-endian unsigned 32-bit ids of all texts and their n+1 offsets."""
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.units = (_SPACED if keeps_space else _BARE).findall
-        self.known: dict[str, bytes] = {}
-
-    def encode_all(self, units: list[str]) -> None:
-        for e, u in zip(self.tokenizer.encode_batch_fast(units, add_special_tokens=False), units, strict=True):
-            self.known[u] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        cut = [self.units(t) for t in texts]
-        new: set[str] = set()
-        for u in cut:
-            new.update(u)
-        self.encode_all([u for u in new if u not in self.known])
-        out = [b"".join(map(self.known.__getitem__, u)) for u in cut]
-        for u in new:
-            if len(u) > CACHE_CHARS:
-                self.known.pop(u, None)
-        return out
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.marked = Tokenizer.from_file(path)
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.marked.token_to_id(self.mark)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each unit)."""
+        if self.mark_id is None or any("<|" in u for u in units):
+            got = [e.ids for e in self.plain.encode_batch_fast(units, add_special_tokens=False)]
+            return np.fromiter((i for x in got for i in x), "<u4"), np.array([len(x) for x in got], np.int64)
+        joined = [self.mark.join(units[i:i + JOINED]) for i in range(0, len(units), JOINED)]
+        ids = np.fromiter((i for e in self.marked.encode_batch_fast(joined, add_special_tokens=False)
+                           for i in (*e.ids, self.mark_id)), "<u4")
+        mark = ids == self.mark_id
+        end = np.flatnonzero(mark)
+        return ids[~mark], np.diff(np.concatenate(([-1], end))) - 1
+
+    def learn(self, keys: np.ndarray, units: list[str]) -> None:
+        parts = [self.encode_units(units[i:i + 2000]) for i in range(0, len(units), 2000)]
+        size = np.concatenate([p[1] for p in parts])
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, *[p[0] for p in parts]])
+        keys, at, size = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.size, size)))
+        order = np.argsort(keys)
+        self.keys, self.at, self.size = keys[order], at[order], size[order]
+
+    def ids(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, off = common.text_buffer(col)
+        first = unit_starts(raw, off)
+        if not len(first):
+            return np.zeros(0, "<u4"), np.zeros(len(off), np.int64)
+        if len(self.keys) > CACHE_UNITS:
+            self.forget()
+        last = np.append(first[1:], len(raw))
+        some, place, where = np.unique(common.run_hashes(raw, first), return_index=True, return_inverse=True)
+        k = np.searchsorted(self.keys, some)
+        new = np.ones(len(some), bool)
+        inside = k < len(self.keys)
+        new[inside] = self.keys[k[inside]] != some[inside]
+        if new.any():
+            data = raw.tobytes()
+            own = place[new]
+            self.learn(some[new], [data[a:b].decode() for a, b in zip(first[own].tolist(), last[own].tolist(), strict=True)])
+            k = np.searchsorted(self.keys, some)
+        k = k[where]
+        size = self.size[k]
+        end = np.cumsum(size)
+        out = self.flat[np.repeat(self.at[k] - (end - size), size) + np.arange(end[-1])]
+        # texts begin at units: the offset of a text is the ids before its first unit
+        return out, np.concatenate(([0], end))[np.searchsorted(first, off)]

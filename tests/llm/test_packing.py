@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,19 +14,29 @@ from tests.conftest import SF_SMALL
 PATH = tokenizer_path("byte_bpe_50k.json")
 
 
-@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_units_give_the_same_ids_as_whole_texts(name, spaced):
-    enc = UnitEncoder(tokenizer_path(name), spaced)
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_give_the_same_ids_as_whole_texts(name):
+    enc = UnitEncoder(tokenizer_path(name))
 
-    @given(st.lists(st.text(alphabet="ab' \n\t\x0b\x1c\x85 　é́Σσ1٣!-​日<|endoftext|>\r", max_size=40), max_size=8))
-    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.text(alphabet="ab' \n\t\x0b\x1c\x85\u00a0\u3000e\u0301\u00e9\u03a3\u03c31\u0663!-\u200b\u65e5<|endoftext|>\r", max_size=40),
+                    max_size=8))
+    @settings(max_examples=300, deadline=None)
     def check(texts):
-        want = [np.asarray(e.ids, "<u4").tobytes()
-                for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        assert enc.ids(texts) == want
+        flat, off = enc.ids(pa.array(texts, pa.string()))
+        want = [e.ids for e in enc.plain.encode_batch(texts, add_special_tokens=False)]
+        assert [flat[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == want
     check()
 
 
+def test_units_of_real_texts(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()] + [None, "", "a <|endoftext|> b"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = UnitEncoder(tokenizer_path(name))
+        flat, off = enc.ids(pa.array(texts))
+        want = [e.ids for e in enc.plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [flat[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == want
+
+
 def test_cut():
     assert packing.cut(1, 4) == [(0, 1)] and packing.cut(4, 4) == [(0, 4)]
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)]

@@ -31,11 +31,11 @@ def test_many_shards_round_trip_and_edge_cases(spark, tmp_path):
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, shard int")
     for width in (2, 4):
         folder = f"{tmp_path}/{width}"
-        m = token_files.write_tokens(docs, folder, PATH, 1, False, width, shard_bytes=100)
+        m = token_files.write_tokens(docs, folder, PATH, 1, width, shard_bytes=100)
         assert len(m) > 2 and [x[3] for x in m] == list(np.cumsum([0] + [x[2] for x in m[:-1]]))
         got = [tuple(r) for r in token_files.read_tokens(spark, f"file://{folder}", m, width, with_ids=True).collect()]
         assert sorted(got, key=lambda r: r[1]) == want(rows)
-    m = token_files.write_tokens(docs.limit(0), f"{tmp_path}/none", PATH, 1, False)
+    m = token_files.write_tokens(docs.limit(0), f"{tmp_path}/none", PATH, 1)
     assert m == [] and token_files.read_tokens(spark, f"{tmp_path}/none", m).count() == 0
 
 
