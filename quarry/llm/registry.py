@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import fingerprint, html_text, mixing, packing, prob_minhash, projections, quality, token_files
+from quarry.llm import fingerprint, html_text, mixing, packing, prob_minhash, projections, quality, suffix_dedup, token_files
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_collision_projections": projections.op4_collision_projections,
     "op5_temperature_mixing": mixing.op5_temperature_mixing,
     "op6_html_extraction": html_text.op6_html_extraction,
+    "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_token_files": token_files.op8_token_files,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_minhash_near_dedup": prob_minhash.op10_minhash_near_dedup,
