@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import fingerprint, html_text, mixing, packing, prob_minhash, projections, quality, suffix_dedup, token_files
+from quarry.llm import fingerprint, html_text, mixing, packing, pitman_yor, prob_minhash, projections, quality, suffix_dedup, token_files
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_lm_scoring": pitman_yor.op3_lm_scoring,
     "op4_collision_projections": projections.op4_collision_projections,
     "op5_temperature_mixing": mixing.op5_temperature_mixing,
     "op6_html_extraction": html_text.op6_html_extraction,
