@@ -55,7 +55,7 @@ def cited_sources(chunks, confident) -> Column:
     chunks = F.col(chunks) if isinstance(chunks, str) else chunks
     confident = F.col(confident) if isinstance(confident, str) else confident
     pages = F.array_sort(F.array_distinct(F.transform(chunks, lambda c: c["page"])))
-    return F.when(confident, pages).otherwise(F.array().cast("array<int>"))
+    return F.when(confident, pages).otherwise(F.array().cast("array<bigint>"))
 
 
 def system_prompt(domain_context, context) -> Column:
@@ -67,7 +67,7 @@ def system_prompt(domain_context, context) -> Column:
 
 def build_prompts(retrieved: DataFrame, cat: DataFrame, history: DataFrame | None = None,
                   keys: tuple[str, ...] = ("question_id", "domain")) -> DataFrame:
-    """``prompt`` = [system, *history, human question] as array<struct<role, content>>
+    """``prompt`` = [system, *history, user question] as array<struct<role, content>>
     for the confident requests. ``history`` (keys..., history array<struct<role,content>>)
     is optional; without it the history is empty. The catalog is a broadcast dimension."""
     conf = retrieved.where("confident")
@@ -81,7 +81,7 @@ def build_prompts(retrieved: DataFrame, cat: DataFrame, history: DataFrame | Non
     sys_msg = F.struct(F.lit("system").alias("role"),
                        system_prompt(F.coalesce("_domain_context", F.lit("")),
                                      format_context("chunks")).alias("content"))
-    human = F.struct(F.lit("human").alias("role"), F.col("question").alias("content"))
+    human = F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))
     return p.withColumn("prompt", F.concat(F.array(sys_msg), hist, F.array(human))).drop("_domain_context")
 
 
@@ -116,7 +116,7 @@ def with_defaults(df: DataFrame) -> DataFrame:
     if "confident" in df.columns:
         out = out.withColumn("confident", F.coalesce(F.col("confident"), F.lit(True)))
     if "sources" in df.columns:
-        out = out.withColumn("sources", F.coalesce(F.col("sources"), F.array().cast("array<int>")))
+        out = out.withColumn("sources", F.coalesce(F.col("sources"), F.array().cast("array<bigint>")))
     if "distance" in df.columns:
         out = out.withColumn("distance", F.coalesce(F.col("distance"), F.lit(1.0)))
     if "page" in df.columns:

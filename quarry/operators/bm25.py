@@ -30,6 +30,19 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 PAD_BLOCK = 1 << 16
+# Stored postings: term buckets per domain, and files per bucket (a frequent term is split
+# over its bucket's files by chunk).
+TERM_BUCKETS = 64
+TERM_SPLITS = 4
+
+
+def with_term_bucket(df: DataFrame) -> DataFrame:
+    return df.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
+
+
+def replace_domains(df: DataFrame, path: str, *by: str) -> None:
+    """Overwrite exactly the partitions that ``df`` holds, whatever the session's default."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 
 @dataclass
@@ -45,9 +58,15 @@ class BM25Index:
                          self.stats.persist(), self.idf.persist())
 
     def write(self, path: str) -> None:
-        self.postings.write.mode("overwrite").partitionBy("domain").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        self.idf.write.mode("overwrite").partitionBy("domain").parquet(f"{path}/idf")
+        """Per-domain replaceable tables. Postings lie by term: a (domain, term bucket) is
+        one directory, sorted by term, so a question batch reads only its terms' buckets
+        and, inside them, its terms' row groups."""
+        post = with_term_bucket(self.postings)
+        replace_domains(post.repartition("domain", "term_bucket", F.pmod(F.xxhash64("chunk_pos"), F.lit(TERM_SPLITS)))
+                            .sortWithinPartitions("domain", "term_bucket", "term", "chunk_pos"),
+                        f"{path}/postings", "domain", "term_bucket")
+        replace_domains(self.stats, f"{path}/stats", "domain")
+        replace_domains(self.idf, f"{path}/idf", "domain")
 
     @staticmethod
     def read(spark, path: str) -> "BM25Index":
@@ -130,8 +149,10 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
     """B5 plus the zero-fill candidates of B6: (question_id, domain, chunk_pos, score).
 
     Question terms are joined to the idf table (small result, broadcast), then to the
-    postings, which stay where they are: the postings are partitioned by
-    (domain, chunk_pos), so the per-(question, chunk) sum needs no shuffle.
+    postings. In-memory postings are partitioned by (domain, chunk_pos), so the
+    per-(question, chunk) sum needs no shuffle; stored postings lie by term, so only the
+    batch's terms are read and one exchange of the matches (partially summed) follows.
+    ``question_id`` must be unique per domain.
 
     Candidates are the matched chunks plus the first ``pad`` chunks of the domain (score 0
     unless matched). ``pad = k`` when the domain's eps >= 0 (scores are never negative, so
@@ -147,7 +168,14 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
     qidf = qidf.join(dim_broadcast(index.stats.select("domain", "avgdl")), "domain")
     tf_part = (F.col("f") * F.lit(K1 + 1.0)
                / (F.col("f") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))))
-    contrib = (index.postings.join(F.broadcast(qidf) if small else qidf, ["domain", "term"])
+    post, on = index.postings, ["domain", "term"]
+    if "term_bucket" in post.columns:
+        # Stored by term: only the (domain, bucket) directories of the batch's terms are read;
+        # at most TERM_BUCKETS numbers come back to the driver.
+        qidf, on = with_term_bucket(qidf), ["domain", "term_bucket", "term"]
+        wanted = [r["b"] for r in with_term_bucket(qt).select(F.col("term_bucket").alias("b")).distinct().collect()]
+        post = post.where(F.col("term_bucket").isin(wanted))
+    contrib = (post.join(F.broadcast(qidf) if small else qidf, on)
                     .select("question_id", "domain", "chunk_pos",
                             (F.col("qtf") * F.col("idf") * tf_part).alias("v")))
     st = dim_broadcast(index.stats)

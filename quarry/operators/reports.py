@@ -47,11 +47,10 @@ REPORT_SQL = {
                ROUND(COUNT_IF(confident = TRUE) / COUNT(*) * 100, 1) AS confidence_rate_pct
         FROM {log} GROUP BY domain""",
     "recent_questions": """
-        SELECT timestamp, domain, question FROM {log} ORDER BY timestamp DESC LIMIT 5""",
+        SELECT timestamp, domain, question FROM {log} ORDER BY timestamp DESC, session_id, domain, question LIMIT 5""",
 }
 
 
-def run_report_sql(log: DataFrame, name: str, view: str = "query_logs") -> DataFrame:
-    """The report statements as SQL text over a temp view of the log."""
-    log.createOrReplaceTempView(view)
-    return log.sparkSession.sql(REPORT_SQL[name].format(log=view))
+def run_report_sql(log: DataFrame, name: str) -> DataFrame:
+    """The report statements as SQL text over the log (no shared view name)."""
+    return log.sparkSession.sql(REPORT_SQL[name], log=log)

@@ -13,8 +13,8 @@ E3  ``vector_topk``: exact k nearest chunks per question within its domain. The
     per question. A final row_number filter (partial WindowGroupLimit) keeps the global
     top k. No row pairs are ever materialised, no group holds more than a block, and
     nothing passes through the driver.
-E4  ``vector_topk_lsh``: approximate search with Spark ML's bucketed random projection
-    LSH (``approxSimilarityJoin``) followed by the exact re-rank of E3's final step.
+E4  ``vector_topk_cells``: approximate search over k-means cells; a question probes its
+    nearest cells within its domain and is re-ranked exactly by the kernel of E3.
 """
 
 from __future__ import annotations
@@ -128,7 +128,8 @@ def cosine_distance(a, b) -> Column:
                       lambda acc, v: acc + v)
     na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
     nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    return F.lit(1.0) - dot / (na * nb)
+    # a zero vector is at distance 1 from everything
+    return F.when((na == 0) | (nb == 0), F.lit(1.0)).otherwise(F.lit(1.0) - F.try_divide(dot, na * nb))
 
 
 _TOPK_SCHEMA = "question_id long, domain string, chunk_pos long, distance double"
@@ -153,9 +154,10 @@ def _block_topk_fn(k: int, digits: int | None, metric: str, exclude_self: bool):
 
 def _local_topk(Q, qid, self_pos, C, pos, k, digits, metric):
     """Top k (distance, chunk_pos) per question of one corpus slice, ties by position."""
-    n, d = C.shape
+    n = len(C)
     kk = min(k, n)
-    slab = max(1, int(4_000_000 // max(1, n * d)))
+    slab = max(1, int(4_000_000 // max(1, n)))
+    sq = np.einsum("ij,ij->i", C, C)
     out_q, out_p, out_d = [], [], []
     if metric == "cosine":
         cn = np.linalg.norm(C, axis=1, keepdims=True)
@@ -166,8 +168,8 @@ def _local_topk(Q, qid, self_pos, C, pos, k, digits, metric):
             qn = np.linalg.norm(q, axis=1, keepdims=True)
             dist = 1.0 - (q / np.where(qn == 0, 1, qn)) @ Cn.T
         else:
-            diff = q[:, None, :] - C[None, :, :]
-            dist = np.einsum("ijk,ijk->ij", diff, diff)
+            # |q - c|^2 = |q|^2 + |c|^2 - 2 qc: one matrix product per slab of questions
+            dist = np.maximum(np.einsum("ij,ij->i", q, q)[:, None] + sq[None, :] - 2.0 * (q @ C.T), 0.0)
         if digits is not None:
             dist = np.round(dist, digits)
         if self_pos is not None:
@@ -299,28 +301,42 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int
                                         block_rows, query_block_rows, broadcast_values), k)
 
 
-def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int | None = 6,
-                    bucket_length: float = 1.0, num_tables: int = 4, threshold: float = 2.0,
-                    exclude_self: bool = False, seed: int = 7) -> DataFrame:
-    """Approximate top k via bucketed random projection LSH. Only pairs that share a
-    hash bucket in some table are compared; recall < 1 by design, E3 is the exact answer.
-    Euclidean threshold ``threshold`` bounds the join; result distance is squared L2."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def cell_centers(corpus: DataFrame, cells: int, sample_rows: int = 20_000, seed: int = 7) -> np.ndarray:
+    """k-means centres of a bounded sample of the vectors (least hashes of their positions)."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-
-    c = corpus.select("domain", "chunk_pos", array_to_vector("vec").alias("v"))
-    qcols = ["question_id", "domain"] + (["self_pos"] if exclude_self else [])
-    q = queries.select(*qcols, array_to_vector("qvec").alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(c)
-    j = model.approxSimilarityJoin(q, c, threshold, distCol="_ed")
-    j = j.where(F.col("datasetA.domain") == F.col("datasetB.domain"))
-    if exclude_self:
-        j = j.where(F.col("datasetA.self_pos") != F.col("datasetB.chunk_pos"))
-    d = F.col("_ed") * F.col("_ed")
-    cands = j.select(F.col("datasetA.question_id").alias("question_id"),
-                     F.col("datasetA.domain").alias("domain"),
-                     F.col("datasetB.chunk_pos").alias("chunk_pos"),
-                     (F.round(d, digits) if digits is not None else d).alias("distance"))
-    return final_topk(cands, k)
+    rows = corpus.orderBy(F.xxhash64("domain", "chunk_pos")).limit(sample_rows)
+    fit = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="v").fit(rows.select(array_to_vector("vec").alias("v")))
+    return np.array(fit.clusterCenters())
+
+
+def nearest_cells(df: DataFrame, vec_col: str, centers: np.ndarray, probes: int, out: str) -> DataFrame:
+    """``out``: the numbers of the ``probes`` nearest centres (bounded: cells x dims)."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        d = (centers * centers).sum(axis=1)[None, :] - 2.0 * (x @ centers.T)
+        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+    return df.withColumn(out, near(vec_col))
+
+
+def vector_topk_cells(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int | None = 6, cells: int = 32,
+                      probes: int = 4, metric: str = "l2", exclude_self: bool = False, block_rows: int = 20_000,
+                      centers: np.ndarray | None = None) -> DataFrame:
+    """Approximate top k. Vectors lie in the cell of their nearest k-means centre; a
+    question is compared with the vectors of its own domain in its ``probes`` nearest cells
+    only, by the exact block kernel of E3 (distances are exact, recall < 1 by design). A
+    large cell is cut into blocks like a large domain."""
+    centers = cell_centers(corpus, cells) if centers is None else centers
+    probes = min(probes, len(centers))
+    at = lambda c: F.concat_ws("\u0001", F.coalesce("domain", F.lit("")), F.isnull("domain").cast("string"), c)
+    c = nearest_cells(corpus, "vec", centers, 1, "_cells").select(
+        at(F.col("_cells")[0].cast("string")).alias("domain"), "chunk_pos", "vec")
+    own = ["self_pos"] if exclude_self else []
+    q = (nearest_cells(queries, "qvec", centers, probes, "_cells").withColumn("_cell", F.explode("_cells"))
+         .select("question_id", at(F.col("_cell").cast("string")).alias("domain"), "qvec", *own))
+    got = _block_candidates(q, c, k, digits, metric, exclude_self, block_rows, block_rows)
+    parts = F.split("domain", "\u0001")
+    return final_topk(got.withColumn("domain", F.when(parts[1] == "false", parts[0])), k)

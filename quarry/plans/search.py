@@ -36,11 +36,17 @@ class Collection:
     index: bm25.BM25Index
 
     raw_cached: bool = False   # postings are a filter over cached raw postings
+    cached: tuple = ()         # what building it keeps (released by ``release``)
+
+    def release(self) -> None:
+        """Free what :func:`build_collection` and ``persist`` keep (recomputable)."""
+        for df in (*self.cached, self.chunks, self.vectors, self.index.postings, self.index.stats, self.index.idf):
+            df.unpersist()
 
     def persist(self) -> "Collection":
         lvl = StorageLevel.MEMORY_AND_DISK
         return Collection(self.chunks.persist(lvl), self.vectors.persist(lvl),
-                          self.index.persist(postings=not self.raw_cached), self.raw_cached)
+                          self.index.persist(postings=not self.raw_cached), self.raw_cached, self.cached)
 
 
 def build_collection(chunks: DataFrame, dim: int = vector.DIM, embed=None, persist: bool = True) -> Collection:
@@ -57,7 +63,7 @@ def build_collection(chunks: DataFrame, dim: int = vector.DIM, embed=None, persi
     else:
         vecs = embed(chunks, ["domain", "chunk_pos"], "content")
     return Collection(chunks, vecs.select("domain", "chunk_pos", "vec"), bm25.index_from_raw(raw),
-                      raw_cached=persist)
+                      raw_cached=persist, cached=(raw,) if persist else ())
 
 
 def question_vectors(questions: DataFrame, dim: int = vector.DIM, embed=None) -> DataFrame:
@@ -133,7 +139,7 @@ def gate(top_distance, threshold: float = CONFIDENCE_THRESHOLD):
     return confident, reason
 
 
-HIT_STRUCT = "array<struct<rank:int,chunk_pos:bigint,page:int,content:string,score:double,distance:double>>"
+HIT_STRUCT = "array<struct<rank:int,chunk_pos:bigint,page:bigint,content:string,score:double,distance:double>>"
 
 
 def retrieve(requests: DataFrame, coll: Collection, cat: DataFrame,

@@ -31,14 +31,14 @@ def register(name: str, oracle: str | None = None):
 
 # ---------------------------------------------------------------- SQL building blocks
 WS_SQL = r"'\s+'"
-CAT_SQL = "SELECT * FROM (VALUES ('en', 0), ('fr', 1), ('de', 2), ('it', 3)) t(domain, ord)"
-REQ_SQL = "SELECT * FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) t(domain)"
+CAT_SQL = "SELECT * FROM (VALUES ('en', 0), ('fr', 1), ('de', 2), ('es', 3), ('it', 4)) t(domain, ord)"
+REQ_SQL = "SELECT * FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('it'), ('xx')) t(domain)"
 
 PAGES_CTE = f"""
 cat AS ({CAT_SQL}),
 pages AS (
   SELECT lang AS domain, lang AS file, doc_id,
-         CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS INTEGER) AS page, text
+         CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS page, text
   FROM documents),
 corpus AS (
   SELECT domain, CAST(page AS BIGINT) AS chunk_pos, page, text AS content
@@ -48,11 +48,11 @@ questions AS (
   FROM benchmark b, ({REQ_SQL}) r)"""
 
 BM25_CTE = PAGES_CTE + f""",
-toks AS (
+toks AS MATERIALIZED (
   SELECT domain, chunk_pos, list_filter(string_split_regex(lower(content), {WS_SQL}), lambda x: x <> '') AS t
   FROM corpus),
 bstats AS (SELECT domain, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY domain),
-post AS (
+post AS MATERIALIZED (
   SELECT domain, chunk_pos, term, count(*) AS f, any_value(dl) AS dl
   FROM (SELECT domain, chunk_pos, len(t) AS dl, unnest(t) AS term FROM toks)
   GROUP BY domain, chunk_pos, term),
@@ -61,8 +61,8 @@ rawidf AS (
   SELECT d.domain, d.term, d.df, ln(s.n - d.df + 0.5) - ln(d.df + 0.5) AS raw
   FROM dfs d JOIN bstats s USING (domain)),
 epss AS (SELECT domain, 0.25 * avg(raw) AS eps FROM rawidf GROUP BY domain),
-idf AS (
-  SELECT r.domain, r.term, CASE WHEN r.raw < 0 THEN e.eps ELSE r.raw END AS idf
+idf AS MATERIALIZED (
+  SELECT r.domain, r.term, r.df, CASE WHEN r.raw < 0 THEN e.eps ELSE r.raw END AS idf
   FROM rawidf r JOIN epss e USING (domain)),
 qt AS (
   SELECT question_id, domain, term, count(*) AS qtf
@@ -137,7 +137,7 @@ arms AS (
   SELECT question_id, domain, chunk_pos, rank, CAST(NULL AS DOUBLE), 1 FROM bm25top),
 contrib AS (
   SELECT a.question_id, a.domain, a.chunk_pos, a.rank, a.arm, a.distance, substr(c.content, 1, 100) AS fkey,
-         a.arm * 1000 + a.rank AS ord, 1.0 / (a.rank + 60) AS rrf
+         CAST(a.arm AS BIGINT) * 1000000000 + a.rank AS ord, 1.0 / (a.rank + 60) AS rrf
   FROM arms a JOIN corpus c USING (domain, chunk_pos)),
 fused AS (
   SELECT question_id, domain, fkey, round(sum(rrf), 9) AS score, min(ord) AS ord,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -56,7 +57,7 @@ def q_recent_questions(spark, sf_dir):
 
 @register("recent_questions_sql", f"""WITH {EVENTS_CTE}
 SELECT {TS_SQL.format(c='ts')} AS timestamp, domain, question
-FROM turns ORDER BY ts DESC LIMIT 5""")
+FROM turns ORDER BY ts DESC, session_id, domain, question LIMIT 5""")
 def q_recent_questions_sql(spark, sf_dir):
     """A3 as the report's SQL text over a temp view (timestamps are unique in the log)."""
     r = reports.run_report_sql(SourceTables(spark, sf_dir).query_log(), "recent_questions")
@@ -174,28 +175,38 @@ def q_conversation_segments(spark, sf_dir):
 @register("reset_report", f"""WITH {EVENTS_CTE},
 starts AS (SELECT session_id, domain, min((ts, event_id)) AS f FROM turns GROUP BY session_id, domain)
 SELECT r.session_id, r.event_id AS reset_id,
-       coalesce(string_agg(s.domain, ',' ORDER BY s.domain) FILTER (WHERE s.f < (r.ts, r.event_id)), '') AS cleared
+       coalesce(string_agg(s.domain, ',' ORDER BY reverse(s.domain)) FILTER (WHERE s.f < (r.ts, r.event_id)), '') AS cleared
 FROM resets r LEFT JOIN starts s USING (session_id)
 GROUP BY r.session_id, r.event_id""")
 def q_reset_report(spark, sf_dir):
     t = SourceTables(spark, sf_dir)
-    rep = sessions.reset_report(t.turns(), t.resets())
+    # a catalog order that is not the alphabet: by the reversed names
+    names = t.turns().select("domain").distinct()
+    order = names.withColumn("ord", F.row_number().over(Window.orderBy(F.reverse("domain"))))
+    rep = sessions.reset_report(t.turns(), t.resets(), order)
     return rep.select("session_id", "reset_id", F.array_join("cleared", ",").alias("cleared"))
 
 
-@register("new_session_ids")
+@register("new_session_ids", f"""WITH {EVENTS_CTE}
+SELECT event_id, session_id, true AS well_formed, true AS fresh FROM resets""")
 def q_new_session_ids(spark, sf_dir):
-    """H5: a new short id per reset (random; rows-only check)."""
-    return sessions.new_session_ids(SourceTables(spark, sf_dir).resets().select("event_id", "session_id"))
+    """H5: a new short id per reset; the ids are random, so the check is on their form: eight
+    hexadecimal digits, another id than the session's."""
+    ids = sessions.new_session_ids(SourceTables(spark, sf_dir).resets().select("event_id", "session_id"))
+    return ids.select("event_id", "session_id", F.col("new_session_id").rlike("^[0-9a-f]{8}$").alias("well_formed"),
+                      (F.col("new_session_id") != F.col("session_id")).alias("fresh"))
 
 
 # ---------------------------------------------------------------- catalog, validity, blanks
-@register("list_domains", "SELECT * FROM (VALUES (0, 'en', 'English documents — invented prose'), "
+@register("list_domains", "SELECT t.ord, t.domain, t.description, count(d.lang) AS n_pages "
+          "FROM (VALUES (0, 'en', 'English documents — invented prose'), "
           "(1, 'fr', 'French documents — invented prose'), (2, 'de', 'German documents — invented prose'), "
-          "(3, 'it', 'Italian documents — invented prose')) t(ord, domain, description)")
+          "(3, 'es', 'Spanish documents — invented prose'), (4, 'it', 'Italian documents — invented prose')) "
+          "t(ord, domain, description) LEFT JOIN documents d ON d.lang = t.domain GROUP BY ALL")
 def q_list_domains(spark, sf_dir):
     from quarry.sources.domains import list_domains
-    return list_domains(SourceTables(spark, sf_dir).catalog())
+    t = SourceTables(spark, sf_dir)
+    return list_domains(t.catalog(), t.table("documents").select(F.col("lang").alias("domain")))
 
 
 @register("missing_sources", f"""WITH {PAGES_CTE}
@@ -324,7 +335,7 @@ def _sql_text(s: str) -> str:
 
 @register("build_prompts", f"""WITH {ANSWERED_CTE},
 dctx AS (SELECT * FROM (VALUES ('en', 'the English document collection'), ('fr', 'the French document collection'),
-                               ('de', 'the German document collection'), ('it', 'the Italian document collection'))
+                               ('de', 'the German document collection'), ('es', 'the Spanish document collection'), ('it', 'the Italian document collection'))
          t(domain, dc))
 SELECT r.question_id, r.domain, 2 AS n_messages,
        {_sql_text(SYS_HEAD)} || d.dc || {_sql_text(SYS_MID)} || c.context || {_sql_text(SYS_END)} AS system_prompt,
@@ -340,12 +351,22 @@ def q_build_prompts(spark, sf_dir):
 
 
 @register("default_fields", f"""WITH {ANSWERED_CTE}
-SELECT question_id, domain, rank, coalesce(CAST(page AS VARCHAR), 'unknown') AS page_text,
-       coalesce(distance, 1.0) AS distance FROM hybrid""")
+SELECT h.question_id, h.domain, h.rank, CASE WHEN h.rank % 3 = 1 THEN 'unknown' ELSE CAST(h.page AS VARCHAR) END AS page_text,
+       CASE WHEN h.rank % 3 = 2 THEN 1.0 ELSE h.distance END AS distance, h.rank % 2 = 1 OR r.confident AS confident,
+       CASE WHEN h.rank % 2 = 0 THEN '' ELSE CAST(h.page AS VARCHAR) END AS sources
+FROM hybrid h JOIN retrieved r USING (question_id, domain)""")
 def q_default_fields(spark, sf_dir):
     t = SourceTables(spark, sf_dir)
     h = search.hybrid_search(t.questions(), t.collection())
-    return answers.with_defaults(h).select("question_id", "domain", "rank", "page_text", "distance")
+    top = h.where("rank = 0").select("question_id", "domain", search.gate(F.col("distance"))[0].alias("_conf"))
+    # some fields of every hit go missing, so that each default fires
+    h = h.join(top, ["question_id", "domain"]).select(
+        "question_id", "domain", "rank", F.when(F.col("rank") % 2 == 0, F.col("_conf")).alias("confident"),
+        F.when(F.col("rank") % 2 == 1, F.array("page")).alias("sources"),
+        F.when(F.col("rank") % 3 != 1, F.col("page")).alias("page"),
+        F.when(F.col("rank") % 3 != 2, F.col("distance")).alias("distance"))
+    return answers.with_defaults(h).select("question_id", "domain", "rank", "page_text", "distance", "confident",
+                                           _srcs().alias("sources"))
 
 
 @register("valid_requests", f"WITH {PAGES_CTE} SELECT question_id, domain FROM questions "
@@ -364,3 +385,54 @@ def q_invalid_requests(spark, sf_dir):
     t = SourceTables(spark, sf_dir)
     return t.questions().join(F.broadcast(t.catalog().select("domain")), "domain", "left_anti") \
             .select("question_id", "domain")
+
+
+# ---------------------------------------------------------------- conversations about the documents
+CHAT_CTE = ANSWERED_CTE + f""",
+chat AS (
+  SELECT e.event_id, e.ts, CAST(e.user_id AS VARCHAR) AS session_id, e.event_type = 'signup' AS is_reset, q.question_id,
+         CASE (e.event_id // 7) % 2 WHEN 0 THEN 'en' ELSE 'fr' END AS domain, q.question,
+         CASE WHEN e.value < 20 THEN 'Answer to: ' || q.question ELSE '{REFUSAL_SQL}' END AS answer
+  FROM events e JOIN (SELECT CAST(item_id AS BIGINT) AS question_id, text AS question FROM benchmark) q
+    ON q.question_id = e.event_id % (SELECT count(*) FROM benchmark)),
+chat_epochs AS (
+  SELECT *, sum(CASE WHEN is_reset THEN 1 ELSE 0 END)
+            OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM chat),
+chat_turns AS (
+  SELECT *, count(*) OVER w AS turn_no,
+         coalesce(string_agg('user=' || question || chr(10) || 'assistant=' || answer, chr(10)) OVER w, '') AS history
+  FROM chat_epochs WHERE NOT is_reset
+  WINDOW w AS (PARTITION BY session_id, domain, epoch ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@register("session_prompts", f"""WITH {CHAT_CTE},
+dctx AS (SELECT * FROM (VALUES ('en', 'the English document collection'), ('fr', 'the French document collection')) t(domain, dc))
+SELECT t.event_id, t.session_id, t.domain, CAST(2 + 2 * t.turn_no AS INTEGER) AS n_messages, md5(t.history) AS history_md5,
+       md5({_sql_text(SYS_HEAD)} || d.dc || {_sql_text(SYS_MID)} || c.context || {_sql_text(SYS_END)}) AS system_md5, t.question AS last_message
+FROM chat_turns t JOIN retrieved r USING (question_id, domain) JOIN ctx c USING (question_id, domain)
+JOIN dctx d USING (domain) WHERE r.confident""")
+def q_session_prompts(spark, sf_dir):
+    """R4 + W2 + W3: prompts with the history of the request's session, domain and epoch."""
+    from quarry.plans.conversation import session_prompts
+    t = SourceTables(spark, sf_dir)
+    p = session_prompts(t.chat_requests(), F.col("is_reset"), t.collection(), t.catalog())
+    past = F.transform(F.slice("prompt", 2, F.size("prompt") - 2), lambda m: F.concat(m["role"], F.lit("="), m["content"]))
+    return p.select("event_id", "session_id", "domain", F.size("prompt").alias("n_messages"),
+                    F.md5(F.array_join(past, "\n")).alias("history_md5"),
+                    F.md5(F.col("prompt")[0]["content"]).alias("system_md5"),
+                    F.element_at("prompt", -1)["content"].alias("last_message"))
+
+
+@register("chat_log", f"""WITH {CHAT_CTE}
+SELECT {TS_SQL.format(c='t.ts')} AS timestamp, t.session_id, t.domain, t.question, r.answer, r.confident,
+       strftime(t.ts, '%Y-%m-%d') AS log_date
+FROM chat_turns t JOIN routed r USING (question_id, domain)""")
+def q_chat_log(spark, sf_dir):
+    """R5 + P7 + S5: answer a batch of conversations, append it to the log, read the log."""
+    from quarry.plans.conversation import log_records
+    t = SourceTables(spark, sf_dir)
+    path = shared_dir(spark, "chat-log")
+    records = log_records(t.chat_requests(), F.col("is_reset"), t.collection(), t.catalog(), _test_answer_udf(), stamp=False)
+    querylog.write_log(records, path)
+    return querylog.read_log(spark, path).select(_ts().alias("timestamp"), "session_id", "domain", "question", "answer",
+                                                 "confident", "log_date")

@@ -20,7 +20,8 @@ def q_load_pages(spark, sf_dir):
 
 @register("enrich_chunks", f"""WITH {PAGES_CTE},
 descr AS (SELECT * FROM (VALUES ('en', 'English documents — invented prose'), ('fr', 'French documents — invented prose'),
-                                ('de', 'German documents — invented prose'), ('it', 'Italian documents — invented prose'))
+                                ('de', 'German documents — invented prose'), ('es', 'Spanish documents — invented prose'),
+                                ('it', 'Italian documents — invented prose'))
           t(domain, description))
 SELECT c.domain, c.chunk_pos, d.description FROM corpus c JOIN descr d USING (domain)""")
 def q_enrich_chunks(spark, sf_dir):
@@ -82,12 +83,18 @@ def q_chunk_windows(spark, sf_dir):
     return chunking.chunk_windows(_catalogued_pages(SourceTables(spark, sf_dir)))
 
 
-@register("ingest_stats")
+@register("ingest_stats", f"""WITH {PAGES_CTE},
+n AS (SELECT domain, count(*) AS n_pages,
+             sum(CASE WHEN length(text) > 0 THEN greatest(1, CAST(ceil((length(text) - 200) / 800.0) AS BIGINT)) ELSE 0 END) AS n_chunks
+      FROM pages WHERE domain IN (SELECT domain FROM cat) GROUP BY domain)
+SELECT c.domain, n.n_pages, CAST(n.n_chunks AS BIGINT) AS n_chunks, CAST(n.n_chunks AS BIGINT) AS n_stored,
+       CASE WHEN n.domain IS NULL THEN 'WARNING: ' || c.domain || ' not found. Skipping.' END AS warning
+FROM cat c LEFT JOIN n USING (domain)""")
 def q_ingest_stats(spark, sf_dir):
-    """Full ingest (recursive chunks, vectors, index) into the shared folder;
-    per-domain pages, chunks, stored rows and the missing-source warning."""
+    """Full ingest (window chunks, vectors, index) into the shared folder; per-domain
+    pages, chunks counted before the write, stored rows and the missing-source warning."""
     t = SourceTables(spark, sf_dir)
-    return ingest_plan.ingest(t.pages(), t.catalog(), shared_dir(spark, "collection"))
+    return ingest_plan.ingest(t.pages(), t.catalog(), shared_dir(spark, "collection"), chunking.chunk_windows)
 
 
 @register("collection_roundtrip", f"""WITH {PAGES_CTE}
@@ -131,7 +138,7 @@ def q_corpus_stats(spark, sf_dir):
 
 
 @register("term_idf", f"""WITH {BM25_CTE}
-SELECT i.domain, i.term, d.df, round(i.idf, 9) AS idf FROM idf i JOIN dfs d USING (domain, term)""")
+SELECT domain, term, df, round(idf, 9) AS idf FROM idf""")
 def q_term_idf(spark, sf_dir):
     idx = bm25.build_index(SourceTables(spark, sf_dir).corpus())
     return idx.idf.select("domain", "term", "df", F.round("idf", 9).alias("idf"))
@@ -155,12 +162,25 @@ def q_bm25_scores(spark, sf_dir):
     return s.select("question_id", "domain", "chunk_pos", F.round("score", 6).alias("score"))
 
 
-@register("vector_topk_lsh")
+@register("vector_topk_lsh", """
+SELECT vec_id AS question_id, true AS at_most_k, true AS own_domain, true AS exact, true AS in_order FROM embeddings""")
 def q_vector_topk_lsh(spark, sf_dir):
-    """Approximate neighbours by random-projection LSH (rows-only; recall vs the
-    exact search is tested separately)."""
+    """Approximate neighbours of every stored vector (k-means cells), checked by invariants:
+    at most k hits, all of the same label, exact distances, ascending ranks."""
     v = SourceTables(spark, sf_dir).vectors()
     corpus = v.select("domain", "chunk_pos", F.col("embedding").alias("vec"))
     qs = v.select(F.col("chunk_pos").alias("question_id"), "domain", F.col("embedding").alias("qvec"),
                   F.col("chunk_pos").alias("self_pos"))
-    return vector.vector_topk_lsh(qs, corpus, 10, exclude_self=True)
+    hits = vector.vector_topk_cells(qs, corpus, 10, exclude_self=True)
+    a = v.select(F.col("chunk_pos").alias("question_id"), F.col("domain").alias("_d"), F.col("embedding").alias("_a"))
+    b = v.select("chunk_pos", F.col("domain").alias("_e"), F.col("embedding").alias("_b"))
+    j = hits.join(a, "question_id").join(b, "chunk_pos")
+    per = j.groupBy("question_id").agg(
+        (F.count(F.lit(1)) <= 10).alias("at_most_k"), F.bool_and((F.col("_d") == F.col("_e")) & (F.col("domain") == F.col("_d"))).alias("own_domain"),
+        F.bool_and(F.abs(vector.sq_l2("_a", "_b") - F.col("distance")) < 1e-5).alias("exact"),
+        F.sort_array(F.collect_list(F.struct("rank", "distance", "chunk_pos"))).alias("_h"))
+    ranked = F.transform("_h", lambda h: F.struct(h["distance"].alias("distance"), h["chunk_pos"].alias("chunk_pos")))
+    per = per.withColumn("in_order", F.array_sort(ranked) == ranked).drop("_h")
+    yes = F.lit(True)
+    return v.select(F.col("chunk_pos").alias("question_id")).join(per, "question_id", "left").select(
+        "question_id", *[F.coalesce(c, yes).alias(c) for c in ("at_most_k", "own_domain", "exact", "in_order")])

@@ -62,7 +62,6 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
             # A folder on the driver's disk is not visible to executors.
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")

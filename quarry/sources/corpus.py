@@ -14,7 +14,7 @@ from quarry.functions.broadcast import dim_broadcast
 from quarry.functions.ordinal import dense_position
 from quarry.functions.text import prefix_key
 
-PAGES_SCHEMA = "domain string, file string, page int, text string"
+PAGES_SCHEMA = "domain string, file string, page long, text string"
 
 
 def load_pages(docs: DataFrame, domain_col: str, file_col: str, order_col: str, text_col: str,
@@ -25,7 +25,7 @@ def load_pages(docs: DataFrame, domain_col: str, file_col: str, order_col: str,
                        F.col(order_col).alias("_order"), F.col(text_col).alias("text"))
     kw = {"width": width} if width else {}
     pos = dense_position(base, ["domain", "file"], ["_order"], out="_page", **kw)
-    return pos.select("domain", "file", F.col("_page").cast("int").alias("page"), "_order", "text")
+    return pos.select("domain", "file", F.col("_page").alias("page"), "_order", "text")
 
 
 def available_domains(cat: DataFrame, pages: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def pages_as_chunks(pages: DataFrame, cat: DataFrame) -> DataFrame:
     c = available_domains(cat, pages).select("domain", "file")
     return enrich(
         pages.join(dim_broadcast(c), ["domain", "file"], "left_semi")
-             .select("domain", F.col("page").cast("long").alias("chunk_pos"), "page",
+             .select("domain", F.col("page").alias("chunk_pos"), "page",
                      F.lit(0).alias("chunk_no"), F.col("text").alias("content"),
                      prefix_key("text").alias("fkey")),
         cat)

@@ -10,41 +10,17 @@ from pyspark.sql import functions as F
 CATALOG_SCHEMA = ("domain string, ord int, file string, description string, context string, "
                   "label string, short_desc string, tag string")
 
-# The three document domains of the original application, in its order.
-# (domain, file, description, prompt phrase, UI label, UI short description, UI tag)
-DEFAULT_DOMAINS = [
-    ("zomato", "Zomato Annual Report 2023.pdf",
-     "Zomato Annual Report 2023 — business performance, financials, strategy",
-     "Zomato's Annual Report 2023 covering business performance, financials, and strategy",
-     "📊 Zomato Annual Report 2023",
-     "Business performance, financials, GMV, strategy, and market position",
-     "FINANCIAL"),
-    ("rbi", "RBI Monetary Policy Report October 2024.pdf",
-     "RBI Monetary Policy Report October 2024 — inflation, interest rates, economy",
-     "RBI Monetary Policy Report October 2024 covering inflation, interest rates, and economic outlook",
-     "🏦 RBI Monetary Policy Report",
-     "Inflation outlook, interest rate decisions, GDP growth, economic indicators",
-     "REGULATORY"),
-    ("dpdp", "Digital Personal Data Protection Act 2023 India Gazette.pdf",
-     "Digital Personal Data Protection Act 2023 — data privacy law in India",
-     "Digital Personal Data Protection Act 2023 covering data privacy law in India",
-     "⚖️ DPDP Act 2023",
-     "India's data privacy law — rights, obligations, penalties, compliance",
-     "LEGAL"),
-]
-
 
 def _sql_str(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def catalog(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+def catalog(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """The catalog as a DataFrame; ``ord`` keeps the declaration order.
 
     Built as an inline VALUES table (a local relation compared by value), so every query
     that joins the catalog has an identical plan and reuses cached results built on it.
     """
-    rows = DEFAULT_DOMAINS if rows is None else rows
     values = ", ".join("(" + ", ".join([_sql_str(r[0]), str(i)] + [_sql_str(x) for x in r[1:]]) + ")"
                        for i, r in enumerate(rows))
     cols = [c.split()[0] for c in CATALOG_SCHEMA.split(", ")]
@@ -52,7 +28,12 @@ def catalog(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     return df.select(*[F.col(c).cast(t.split()[1]).alias(c) for c, t in zip(cols, CATALOG_SCHEMA.split(", "))])
 
 
-def list_domains(cat: DataFrame) -> DataFrame:
-    """Keys and descriptions, in catalog order (``get_domains``)."""
-    return cat.select("ord", "domain", "description")
+def list_domains(cat: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Keys and descriptions, in catalog order (``ord``); with ``sources(domain, ...)`` also the number
+    of its rows each domain has."""
+    out = cat.select("ord", "domain", "description")
+    if sources is None:
+        return out
+    n = sources.groupBy("domain").agg(F.count(F.lit(1)).alias("n_pages"))
+    return out.join(n, "domain", "left").fillna(0, ["n_pages"])
 

@@ -47,9 +47,19 @@ def to_json_line(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
+# Files per day and write: a day is split by session, small days make few files.
+DAY_FILES = 4
+
+
+def stamped(df: DataFrame) -> DataFrame:
+    """Stamp answered requests with the current UTC time (one instant per batch)."""
+    return df.withColumn("timestamp", F.current_timestamp())
+
+
 def write_log(df: DataFrame, path: str) -> None:
-    """Append records to the day partitions under ``path``."""
-    (to_log_records(df).write.mode("append").partitionBy("log_date")
+    """Append records to the day partitions under ``path``, clustered by day. Retried tasks
+    do not duplicate records; running the same batch twice does (append)."""
+    (to_log_records(df).repartition("log_date", F.pmod(F.xxhash64("session_id"), F.lit(DAY_FILES))).write.mode("append").partitionBy("log_date")
         .option("timestampFormat", TS_FORMAT).json(path))
 
 

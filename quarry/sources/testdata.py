@@ -19,7 +19,7 @@ from quarry.sources import corpus as corpus_src
 from quarry.sources.domains import catalog
 
 # The catalog used with the test tables. 'it' has no documents (its source
-# is missing); 'es' documents exist but are not catalogued (requests for it are invalid).
+# is missing); 'xx' is asked for but not catalogued (such requests are invalid).
 LANG_DOMAINS = [
     ("en", "en", "English documents — invented prose", "the English document collection",
      "EN English collection", "English-language pages", "ENGLISH"),
@@ -27,14 +27,18 @@ LANG_DOMAINS = [
      "FR French collection", "French-language pages", "FRENCH"),
     ("de", "de", "German documents — invented prose", "the German document collection",
      "DE German collection", "German-language pages", "GERMAN"),
+    ("es", "es", "Spanish documents — invented prose", "the Spanish document collection",
+     "ES Spanish collection", "Spanish-language pages", "SPANISH"),
     ("it", "it", "Italian documents — invented prose", "the Italian document collection",
      "IT Italian collection", "Italian-language pages", "ITALIAN"),
 ]
 # Every benchmark question is asked of each of these domains.
-REQUEST_DOMAINS = ["en", "fr", "de", "es", "it"]
+REQUEST_DOMAINS = ["en", "fr", "de", "es", "it", "xx"]
 # The log mapping.
 CONFIDENT_BELOW = 20.0
 RESET_EVENT = "signup"
+# The languages that the chat requests ask.
+CHAT_DOMAINS = ["en", "fr"]
 # The deterministic stand-in for the language model used by tests.
 TEST_ANSWER_PREFIX = "Answer to: "
 
@@ -87,6 +91,22 @@ class SourceTables:
         """Answered requests (resets excluded) with the deterministic test answer."""
         return turns_from_requests(self.requests())
 
+    def chat_requests(self) -> DataFrame:
+        """events as conversations about the documents: a request asks one benchmark question
+        of one language, by its event id; its recorded answer is the test answer of that question, or the refusal
+        where the event was not confident. 'signup' rows are resets."""
+        from quarry.operators.answers import REFUSAL
+        items = self.table("benchmark").select(F.col("item_id").cast("long").alias("question_id"), F.col("text").alias("question"))
+        # one number: how many questions there are (ids are 0..n-1)
+        n = items.count()
+        langs = F.array(*[F.lit(d) for d in CHAT_DOMAINS])
+        r = self.requests().drop("question").withColumn("is_reset", F.col("domain") == F.lit(RESET_EVENT))
+        r = r.withColumn("question_id", F.pmod("event_id", F.lit(n))).withColumn(
+            "domain", F.element_at(langs, (F.pmod(F.floor(F.col("event_id") / 7), F.lit(len(CHAT_DOMAINS))) + 1).cast("int")))
+        r = r.join(items, "question_id")
+        return r.withColumn("answer", F.when(F.col("confident"), F.concat(F.lit(TEST_ANSWER_PREFIX), F.col("question")))
+                                       .otherwise(F.lit(REFUSAL))).drop("confident")
+
     def resets(self) -> DataFrame:
         return self.requests().where(F.col("domain") == F.lit(RESET_EVENT))
 

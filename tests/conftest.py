@@ -27,6 +27,6 @@ def spark():
     # Tests set their own shared folder only where the session names none.
     if not s.conf.get("spark.checkpoint.dir", None):
         d = tempfile.mkdtemp(prefix="quarry-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
+        s.sparkContext.setCheckpointDir(d)
     yield s
     s.stop()

@@ -1,12 +1,15 @@
 """Properties: skew-safe scans equal plain windows, chunk invariants, prefix property,
 LSH recall, chunk totals."""
 
+from collections import Counter
+
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions.ordinal import dense_position, running_scan
@@ -80,15 +83,25 @@ def test_vector_blocks_do_not_change_result(spark):
     assert sorted(a) == sorted(b)
 
 
-def test_lsh_recall(spark):
-    v = SourceTables(spark, SF_SMALL).vectors()
-    corpus = v.select("domain", "chunk_pos", F.col("embedding").alias("vec"))
-    qs = v.select(F.col("chunk_pos").alias("question_id"), "domain", F.col("embedding").alias("qvec"),
-                  F.col("chunk_pos").alias("self_pos"))
+def test_cell_search_recall(spark):
+    """Grouped vectors: recall over 0.8 while comparing under a fifth of the same-domain pairs."""
+    rng = np.random.default_rng(3)
+    heads = rng.standard_normal((40, 32))
+    x = heads[rng.integers(0, 40, 1500)] + 0.25 * rng.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(str(i % 3), i, v.tolist()) for i, v in enumerate(x)]
+    corpus = spark.createDataFrame(rows, "domain string, chunk_pos long, vec array<double>")
+    qs = corpus.select(F.col("chunk_pos").alias("question_id"), "domain", F.col("vec").alias("qvec"),
+                       F.col("chunk_pos").alias("self_pos"))
     exact = {(r["question_id"], r["chunk_pos"]) for r in vector.vector_topk(qs, corpus, exclude_self=True).collect()}
-    approx = {(r["question_id"], r["chunk_pos"]) for r in vector.vector_topk_lsh(qs, corpus, exclude_self=True).collect()}
-    assert approx <= exact | approx
-    assert len(approx & exact) / len(exact) > 0.3
+    centers = vector.cell_centers(corpus, 32)
+    got = vector.vector_topk_cells(qs, corpus, probes=4, exclude_self=True, centers=centers).collect()
+    found = {(r["question_id"], r["chunk_pos"]) for r in got}
+    assert len(found & exact) / len(exact) >= 0.8
+    cell = vector.nearest_cells(corpus, "vec", centers, 4, "c").select("domain", "c").collect()
+    own = Counter((r["domain"], r["c"][0]) for r in cell)
+    compared = sum(own[(r["domain"], c)] for r in cell for c in r["c"])
+    assert compared < 0.2 * sum(n * n for n in Counter(r["domain"] for r in cell).values())
 
 
 def test_partitioning_does_not_change_hybrid_result(spark):
