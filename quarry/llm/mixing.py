@@ -89,9 +89,10 @@ def weights(totals: DataFrame, entropy: float | None = None, max_repeat: float |
     budget = F.col("all") if budget_tokens is None else F.lit(budget_tokens)
     if cover:
         budget = F.aggregate("t", F.lit(0.0), lambda x, y: F.greatest(x, y / (F.pow(y / F.col("all"), F.col("a")) / F.col("z"))))
-    row = row.select("all", "a", "z", budget.cast("double").alias("budget"))
+    # one value, evaluated once
+    mixed = row.select(F.struct("all", "a", "z", budget.cast("double").alias("budget"))).scalar()
+    got = totals.withColumn("_m", mixed).select("source", "tokens", "_m.all", "_m.a", "_m.z", "_m.budget")
     w = F.pow(F.col("tokens") / F.col("all"), F.col("a")) / F.col("z")
-    got = totals.join(F.broadcast(row), how="left")  # a single row
     got = got.withColumn("weight", F.when(F.col("tokens") > 0, w).otherwise(F.lit(0.0)))
     # with cover the quota of the largest source is its tokens, whatever the rounding
     return got.select("source", "tokens", "weight", "a", F.floor(F.col("weight") * F.col("budget") + F.lit(1e-6)).cast("long").alias("quota"))
