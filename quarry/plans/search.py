@@ -80,33 +80,40 @@ def vector_arm(questions: DataFrame, coll: Collection, k: int = 10, embed=None,
     return vector.vector_topk(question_vectors(questions, embed=embed), coll.vectors, k, metric=metric)
 
 
-def bm25_arm(questions: DataFrame, coll: Collection, k: int = 10) -> DataFrame:
-    return bm25.bm25_topk(questions, coll.index, k)
+def bm25_arm(questions: DataFrame, coll: Collection, k: int = 10, min_score: float | None = None) -> DataFrame:
+    """``min_score``: hits must score more (0.0 drops the zero-score fill); the default keeps all."""
+    hits = bm25.bm25_topk(questions, coll.index, k)
+    return hits if min_score is None else hits.where(F.col("score") > min_score)
 
 
-def fusion_keys(chunks: DataFrame) -> DataFrame:
-    """(domain, chunk_pos, fkey); uses a stored ``fkey`` column when the collection has one."""
+def fusion_keys(chunks: DataFrame, key: str = "prefix") -> DataFrame:
+    """(domain, chunk_pos, fkey): the content prefix (a stored ``fkey`` column when the
+    collection has one), or with ``key="chunk_id"`` the chunk itself."""
+    if key == "chunk_id":
+        return chunks.select("domain", "chunk_pos", F.col("chunk_pos").cast("string").alias("fkey"))
     fk = F.col("fkey") if "fkey" in chunks.columns else prefix_key("content", fusion.KEY_CHARS)
     return chunks.select("domain", "chunk_pos", fk.alias("fkey"))
 
 
 def fuse(questions: DataFrame, coll: Collection, vec_hits: DataFrame, bm_hits: DataFrame,
-         n: int = fusion.N_RESULTS, small: bool = True, rank_base: int = 0) -> DataFrame:
+         n: int = fusion.N_RESULTS, small: bool = True, rank_base: int = 0, key: str = "prefix") -> DataFrame:
     """Each arm's hits are consumed once: the stacked arms (<= 2k rows per question,
     broadcast when the batch is small) are joined to the fusion keys of the collection."""
-    contrib = fusion.rrf_contributions(vec_hits, bm_hits, fusion_keys(coll.chunks), rank_base=rank_base,
+    contrib = fusion.rrf_contributions(vec_hits, bm_hits, fusion_keys(coll.chunks, key), rank_base=rank_base,
                                        broadcast_arms=small)
     return fusion.rrf_fuse(contrib, n)
 
 
 def hybrid_search(questions: DataFrame, coll: Collection, n: int = fusion.N_RESULTS, k: int = 10,
-                  embed=None, max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                  embed=None, max_broadcast_rows: int = DEFAULT_MAX_ROWS, metric: str = "l2", rank_base: int = 0,
+                  key: str = "prefix", min_score: float | None = None) -> DataFrame:
     """(question_id, domain, rank, chunk_pos, page, content, score, distance).
-    Questions whose domain has no chunks yield no rows."""
-    small = fits(questions, max_broadcast_rows)
-    vec_hits = vector_arm(questions, coll, k, embed)
-    bm_hits = bm25_arm(questions, coll, k)
-    fused = fuse(questions, coll, vec_hits, bm_hits, n, small)
+    Questions whose domain has no chunks yield no rows. ``max_broadcast_rows`` bounds the
+    stacked hits (2k rows a question), which are what is broadcast."""
+    small = fits(questions, max_broadcast_rows // max(1, 2 * k))
+    vec_hits = vector_arm(questions, coll, k, embed, metric)
+    bm_hits = bm25_arm(questions, coll, k, min_score)
+    fused = fuse(questions, coll, vec_hits, bm_hits, n, small, rank_base, key)
     payload = coll.chunks.select("domain", "chunk_pos", "page", "content")
     return (fused.join(payload, ["domain", "chunk_pos"]) if not small
             else payload.join(F.broadcast(fused), ["domain", "chunk_pos"])).select(
@@ -144,17 +151,18 @@ HIT_STRUCT = "array<struct<rank:int,chunk_pos:bigint,page:bigint,content:string,
 
 def retrieve(requests: DataFrame, coll: Collection, cat: DataFrame,
              threshold: float = CONFIDENCE_THRESHOLD, n: int = fusion.N_RESULTS,
-             embed=None, hits: DataFrame | None = None) -> DataFrame:
+             embed=None, hits: DataFrame | None = None, **search_options) -> DataFrame:
     """R2: one row per request (question_id, domain, ...): confident, reason, chunks.
 
     Unknown domain -> not confident, catalog reason, no chunks (no search is run for it).
     No hits -> not confident, 'No results found.'. Top (fused first) hit distance
     strictly above ``threshold`` -> not confident, chunks still returned. Else confident.
+    ``search_options`` (k, metric, rank_base, key, min_score) go to :func:`hybrid_search`.
     """
     v = validate(requests, cat)
     valid = v.where("valid").select("question_id", "domain", "question")
     if hits is None:
-        hits = hybrid_search(valid, coll, n, embed=embed)
+        hits = hybrid_search(valid, coll, n, embed=embed, **search_options)
     per_q = (hits.groupBy("question_id", "domain")
                  .agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_pos", "page", "content", "score",
                                                            "distance"))).alias("chunks"),

@@ -157,3 +157,18 @@ def test_prompts_and_log_of_conversations(spark):
     assert len(log) == r.where(~F.col("is_reset")).count()
     assert all(x["timestamp"] >= before for x in log) and len({x["timestamp"] for x in log}) == 1
     assert RESET_EVENT not in {x["domain"] for x in log}
+
+
+def test_search_options(spark):
+    """chunk_id keys keep chunks of one prefix apart; min_score drops the zero-score fill;
+    rank_base shifts the reciprocal ranks; cosine distances are returned."""
+    rows = [("d", i, i, 0, "x" * 100 + t) for i, t in enumerate([" alpha", " beta", " alpha beta"])]
+    chunks = spark.createDataFrame(rows, "domain string, chunk_pos long, page long, chunk_no int, content string")
+    coll = search.build_collection(chunks, persist=False)
+    q = spark.createDataFrame([(1, "d", "alpha")], "question_id long, domain string, question string")
+    assert search.hybrid_search(q, coll).count() == 1
+    apart = search.hybrid_search(q, coll, key="chunk_id", min_score=0.0, rank_base=1).collect()
+    assert len(apart) == 3 and max(r["score"] for r in apart) <= 2 / 61 + 1e-9
+    cos = search.hybrid_search(q, coll, key="chunk_id", metric="cosine").collect()
+    assert all(0 <= r["distance"] <= 2 for r in cos)
+    assert bm25.bm25_topk(q, coll.index).count() == 3 and search.bm25_arm(q, coll, min_score=0.0).count() < 3
