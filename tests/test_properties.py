@@ -112,3 +112,17 @@ def test_partitioning_does_not_change_hybrid_result(spark):
     a = search.hybrid_search(q, search.build_collection(base, persist=False)).collect()
     b = search.hybrid_search(q, search.build_collection(shuffled, persist=False)).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_consecutive_chunks_overlap_or_touch(spark):
+    """No middle chunk is lost: each chunk begins inside the one before it, or after nothing but white space."""
+    for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect():
+        begin, end = 0, 0
+        chunks = chunking.split_text(r["text"])
+        if any(r["text"].count(c[:60]) > 1 for c in chunks):
+            continue  # repeated lines: a chunk's place is not known from its text
+        for c in chunks:
+            at = r["text"].find(c, begin)
+            assert at >= 0 and (at <= end or not r["text"][end:at].strip())
+            begin, end = at + 1, max(end, at + len(c))
+        assert not r["text"][end:].strip()
