@@ -73,8 +73,8 @@ def calibrate(d: np.ndarray, threshold: float, keep: int, recall: float, pairs:
     pairs whose cosine is exactly the threshold."""
     rng, dims = np.random.default_rng(seed), d.shape[1]
     counts = []
-    for _ in range(0, pairs, 2000):
-        a, b = rng.standard_normal((2, 2000, dims))
+    for _ in range(0, pairs, 250):
+        a, b = rng.standard_normal((2, 250, dims))
         a /= np.linalg.norm(a, axis=1, keepdims=True)
         b -= (a * b).sum(axis=1, keepdims=True) * a
         b /= np.linalg.norm(b, axis=1, keepdims=True)
