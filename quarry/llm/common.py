@@ -8,6 +8,8 @@ has one shingle of all its words; a text without words has none.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,6 +117,30 @@ def owners(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """Bytes of an array, all first bytes before all second ones (compresses better)."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+
+
+def squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as one compressed value, read again by :func:`unsqueezed`."""
+    head = [(a.dtype.str, len(a)) for a in arrays]
+    body = b"".join(planes(np.ascontiguousarray(a)).tobytes() for a in arrays)
+    return pickle.dumps((head, len(body), pa.compress(body, codec="zstd", asbytes=True) if body else b""))
+
+
+def unsqueezed(data: bytes) -> list[np.ndarray]:
+    head, size, body = pickle.loads(data)
+    body = pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    out, at = [], 0
+    for kind, n in head:
+        kind = np.dtype(kind)
+        raw = np.frombuffer(body, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(raw.T).view(kind).reshape(n))
+        at += n * kind.itemsize
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -124,7 +150,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lost executors (never a machine-local folder)."""
     path = shared_dir(df.sparkSession, name) + "/t"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` of which everything that follows is stored itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -170,6 +206,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         e = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), seen_sum.alias("s")), "links")
         old = was.agg(F.count(F.lit(1)).alias("n"), seen_sum.alias("s")).first()
         now = seen.get
+        discard(was)
         if old["n"] == now["n"] and old["s"] == now["s"]:
             break
     else:

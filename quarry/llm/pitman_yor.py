@@ -32,7 +32,6 @@ that of the unknown type; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
-import pickle
 import random
 import zlib
 from collections.abc import Iterator
@@ -43,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import common
+from quarry.llm.common import squeezed, unsqueezed
 
 _U = np.uint64
 END = _U(1)
@@ -54,30 +54,6 @@ D2, THETA2, D1, THETA1 = 0.75, 1.0, 0.65, 10.0
 ROUNDS, BURN_IN = 8, 3
 SINGLY = 64
 FREQUENT = 1000
-_CODEC = "zstd"
-
-
-def planes(a: np.ndarray) -> np.ndarray:
-    """Bytes of an array, all first bytes before all second ones (compresses better)."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
-
-
-def squeezed(arrays: list[np.ndarray]) -> bytes:
-    head = [(a.dtype.str, len(a)) for a in arrays]
-    body = b"".join(planes(np.ascontiguousarray(a)).tobytes() for a in arrays)
-    return pickle.dumps((head, len(body), pa.compress(body, codec=_CODEC, asbytes=True) if body else b""))
-
-
-def unsqueezed(data: bytes) -> list[np.ndarray]:
-    head, size, body = pickle.loads(data)
-    body = pa.decompress(body, decompressed_size=size, codec=_CODEC, asbytes=True) if size else b""
-    out, at = [], 0
-    for kind, n in head:
-        kind = np.dtype(kind)
-        raw = np.frombuffer(body, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(raw.T).view(kind).reshape(n))
-        at += n * kind.itemsize
-    return out
 
 
 def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
