@@ -13,10 +13,12 @@ which is the Jaccard similarity when no shingle repeats. Signatures are cut into
 that share a band are candidates and the exact J_P of their shingles decides (>= 0.8).
 
 A band's bucket of any size is worked in two rounds and never lists all its pairs. Round one
-compares each member with the bucket's least id. Round two takes the buckets whose members are
-not yet in one component, and compares members of different components only, those whose
-signatures agree in at least a third of the registers; members already joined need no further link, so no link between
-different components is lost. A bucket's members are dealt to cells of bounded size, a task compares two cells.
+compares each member with the bucket's hub, the member that shares the largest buckets over
+all bands (of a group of copies with edits that is the text nearest to all). Round two takes
+the buckets whose members are not yet in one component, and compares members of different
+components only, those whose signatures agree in so many registers that the threshold is within
+``MARGIN`` standard deviations, each pair in the first band it shares; members already joined need no further link, so no
+link between different components is lost. A bucket's members are dealt to cells of bounded size, a task compares two cells.
 
 Edge cases: a null text is empty; texts without words link with nothing and are kept; a null
 id is left out of groups and kept; equal ids are one document (least text); ties go to the least id; an empty table gives
@@ -32,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.broadcast import sized_broadcast
 from quarry.llm import common
 
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 5
+#: A pair at the threshold shares one of 32 bands of 8 registers with probability 0.997; one at 0.4 with 0.02.
+BANDS, ROWS = 32, 8
 #: Members of one cell of a bucket that meet in a task.
 CELL = 1024
+#: Standard deviations of the register estimate below the threshold that are still verified.
+MARGIN = 4.0
 _NONE = np.uint64(0)
 
 
@@ -59,7 +65,7 @@ def weighted(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def signatures(own: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size: int) -> np.ndarray:
-    """(n, size) register contents: the winning shingle's hash (0 for a text without any)."""
+    """(n, size) register contents: 32 bits of the winning shingle's hash (0 for a text without any)."""
     time = np.full(n * size, np.inf)
     win = np.full(n * size, _NONE)
     now = np.zeros(len(h))
@@ -76,7 +82,7 @@ def signatures(own: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size:
         won = time[reg] == now[live]
         win[reg[won]] = h[live[won]]
         arrival += 1
-    return win.reshape(n, size)
+    return (win >> np.uint64(32)).astype(np.uint32).reshape(n, size)
 
 
 def similarity(h1, w1, h2, w2) -> float:
@@ -129,11 +135,11 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def banded(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, id) of every band of every representative."""
-    width = 8 * rows
+    """(bucket, band, id) of every band of every representative."""
+    width = 4 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                        lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * width + 1, F.lit(width))))
-    return reps.select("id", F.explode(keys).alias("bucket"))
+    return reps.select("id", F.posexplode(keys).alias("band", "bucket"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -154,38 +160,44 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     t = texts.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     need = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    t = common.stored(t.join(need, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), "pair-texts")
+    # the ids of paired texts are broadcast where they are few (a count decides): no text is shuffled then
+    t = common.stored(t.join(sized_broadcast(need), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), "pair-texts")
     joined = (pairs.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
               .join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b"))
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    links = common.stored(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "pair-links")
+    common.discard(t)
+    return links
 
 
-def cross_pairs(members: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs of members (bucket, id, component, sig) of one bucket in different components
-    whose signatures agree in a share ``least`` of the registers. A bucket is dealt to cells
-    and two cells meet in a task."""
+def cross_pairs(members: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
+    """Pairs of members (bucket, band, id, component, sig) of one bucket in different components
+    whose signatures agree in a share ``least`` of the registers, each in the first band it
+    shares. A bucket is dealt to cells and two cells meet in a task."""
+    size = bands * rows
     cells = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).select(
         "bucket", F.ceil(F.col("_n") / CELL).cast("int").alias("_cells"))
     dealt = members.join(cells, "bucket").withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("_cells") - 1),
                        lambda o: F.struct(F.least("_c", o).alias("x"), F.greatest("_c", o).alias("y")))
-    met = dealt.withColumn("_m", F.explode(meet)).select("bucket", "_m.x", "_m.y", "_c", "id", "component", "sig")
+    met = dealt.withColumn("_m", F.explode(meet)).select("bucket", "band", "_m.x", "_m.y", "_c", "id", "component", "sig")
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        x, y, band = (t.column(c)[0].as_py() for c in ("x", "y", "band"))
         cell, ids, comp = (np.asarray(t.column(c)) for c in ("_c", "id", "component"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(ids), size)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), size)
         left, right = np.flatnonzero(cell == x), np.flatnonzero(cell == y)
         a, b = [], []
         for i in left:
             j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if x == y else True)]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
+            same = sig[j] == sig[i]
+            first = same.reshape(len(j), bands, rows).all(axis=2).argmax(axis=1)
+            j = j[(same.mean(axis=1) >= least) & (first == band)]
             a.append(np.minimum(ids[i], ids[j]))
             b.append(np.maximum(ids[i], ids[j]))
         return pa.table([np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])], schema=kinds)
 
-    return met.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return met.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -199,26 +211,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     reps = common.stored(s.join(copies, (s["copy"] == copies["copy"]) & (s["id"] == copies["rep"]))
                          .select("id", "sig").dropDuplicates(["id"]), "representatives")
     buckets = banded(reps, bands, rows)
-    # round one: every member with the least of its bucket
-    heads = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = common.stored(buckets.join(heads, "bucket"), "shared-bands")
-    pairs = common.stored(shared.where("id != a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
-    links = common.stored(verified(pairs, texts, threshold), "star-links")
+    # round one: every member with the hub of its bucket
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = common.stored(buckets.join(sizes, "bucket"), "shared-bands")
+    wide = shared.groupBy("id").agg(F.sum("n").alias("wide"))
+    hubs = (shared.select("bucket", "id").join(wide, "id").groupBy("bucket")
+            .agg(F.max(F.struct("wide", (-F.col("id")).alias("last"))).alias("h")).select("bucket", (-F.col("h.last")).alias("hub")))
+    pairs = shared.join(hubs, "bucket").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    pairs = common.stored(pairs.distinct(), "star-pairs")
+    links = verified(pairs, texts, threshold)
     joined = common.components(links)
     # round two: members of one bucket that are in different components
-    named = (shared.select("bucket", "id").join(joined, "id", "left")
+    named = (shared.select("bucket", "band", "id").join(joined, "id", "left")
              .withColumn("component", F.coalesce("component", "id")))
     open_ = (named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo < hi").select("bucket"))
     members = common.stored(named.join(open_, "bucket", "left_semi").join(reps, "id"), "open-buckets")
-    tried = pairs.select("a", "b")
-    more = cross_pairs(members, bands * rows, threshold / 2.4).join(tried, ["a", "b"], "left_anti")
-    links2 = verified(common.stored(more, "cross-pairs"), texts, threshold)
+    least = threshold - MARGIN * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    more = cross_pairs(members, bands, rows, least).join(pairs, ["a", "b"], "left_anti")
+    more = common.stored(more, "cross-pairs")
+    links2 = verified(more, texts, threshold)
     joined = common.components(links.unionAll(links2))
     named = (member.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
              .select("id", "rep", F.coalesce("component", "rep").alias("class_id")))
     alone = s.where("copy is null").select("id", F.col("id").alias("rep"), F.col("id").alias("class_id"))
-    alone = alone.distinct().join(member.select("id"), "id", "left_anti")
+    alone = common.stored(alone.distinct().join(member.select("id"), "id", "left_anti"), "without-words")
+    # all that the result reads is stored
+    common.discard(s, reps, shared, pairs, members, more, links, links2)
     return named.unionAll(alone).select(F.col("id").alias("doc_id"), "class_id", F.col("rep").alias("rep_id"))
 
 
