@@ -38,12 +38,12 @@ from quarry.functions.broadcast import sized_broadcast
 from quarry.llm import common
 
 THRESHOLD = 0.8
-#: A pair at the threshold shares one of 32 bands of 8 registers with probability 0.997; one at 0.4 with 0.02.
-BANDS, ROWS = 32, 8
+#: A pair at the threshold shares none of 64 bands of 8 registers with probability 0.000008; one at 0.4 shares one with 0.04.
+BANDS, ROWS = 64, 8
 #: Members of one cell of a bucket that meet in a task.
 CELL = 1024
-#: Standard deviations of the register estimate below the threshold that are still verified.
-MARGIN = 4.0
+#: Standard deviations of the register estimate below the threshold that are still verified (a pair at it is lost with 0.000001).
+MARGIN = 5.0
 _NONE = np.uint64(0)
 
 
@@ -65,7 +65,8 @@ def weighted(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def signatures(own: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size: int) -> np.ndarray:
-    """(n, size) register contents: 32 bits of the winning shingle's hash (0 for a text without any)."""
+    """(n, size) register contents: 16 bits of the winning shingle's hash (0 for a text without any);
+    bits that agree by chance only add candidates, which the exact similarity decides."""
     time = np.full(n * size, np.inf)
     win = np.full(n * size, _NONE)
     now = np.zeros(len(h))
@@ -82,7 +83,7 @@ def signatures(own: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size:
         won = time[reg] == now[live]
         win[reg[won]] = h[live[won]]
         arrival += 1
-    return (win >> np.uint64(32)).astype(np.uint32).reshape(n, size)
+    return (win >> np.uint64(48)).astype(np.uint16).reshape(n, size)
 
 
 def similarity(h1, w1, h2, w2) -> float:
@@ -136,7 +137,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 def banded(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, band, id) of every band of every representative."""
-    width = 4 * rows
+    width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                        lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * width + 1, F.lit(width))))
     return reps.select("id", F.posexplode(keys).alias("band", "bucket"))
@@ -185,7 +186,7 @@ def cross_pairs(members: DataFrame, bands: int, rows: int, least: float) -> Data
     def run(t: pa.Table) -> pa.Table:
         x, y, band = (t.column(c)[0].as_py() for c in ("x", "y", "band"))
         cell, ids, comp = (np.asarray(t.column(c)) for c in ("_c", "id", "component"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), size)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), size)
         left, right = np.flatnonzero(cell == x), np.flatnonzero(cell == y)
         a, b = [], []
         for i in left:

@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -38,6 +39,22 @@ def test_similarity_and_estimate():
         assert abs((sig[0] == sig[1]).mean() - want) < 0.06
 
 
+def test_pairs_at_the_threshold_stay_candidates():
+    size, lost = pm.BANDS * pm.ROWS, 0
+    least = pm.THRESHOLD - pm.MARGIN * (pm.THRESHOLD * (1 - pm.THRESHOLD) / size) ** 0.5
+    for part in range(4):  # 4,000 lone pairs of Jaccard similarity 80 / 100
+        h = common.mix64(np.arange(100_000, dtype=np.uint64) + np.uint64(part * 100_000)).reshape(1000, 100)
+        both = np.concatenate((h[:, :90], np.concatenate((h[:, :80], h[:, 90:]), 1)))
+        sig = pm.signatures(*pm.weighted(both.ravel(), np.full(2000, 90)), 2000, size)
+        same = sig[:1000] == sig[1000:]
+        shared = same.reshape(1000, pm.BANDS, pm.ROWS).all(axis=2).any(axis=1)
+        lost += int((~shared | (same.mean(axis=1) < least)).sum())
+    assert lost == 0
+    # 0.8 in all: a band that is shared and an estimate that passes the second round
+    low = sum(math.comb(size, k) * 0.8 ** k * 0.2 ** (size - k) for k in range(size) if k / size < least)
+    assert (1 - 0.8 ** pm.ROWS) ** pm.BANDS + low < 1e-5
+
+
 def classes(rows):
     reps = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
