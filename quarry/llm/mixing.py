@@ -46,17 +46,17 @@ def place(doc_id: Column, block: Column, seed: int) -> Column:
 
 
 def _sum(a: Column, f) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda x, y: x + f(y))
+    return F.aggregate(a, F.lit(0.0), lambda x, y: x + f(y["s"]) * y["n"])
 
 
 def exponent(shares: Column, entropy: float | None, max_repeat: float | None, cover: bool) -> Column:
-    """Bisected exponent for an array of positive shares."""
+    """Bisected exponent for an array of distinct positive shares ``s``, each held by ``n`` sources."""
     def reaches(a: Column) -> Column:  # the weights at a are flat enough
         z = _sum(shares, lambda s: F.pow(s, a))
         return -_sum(shares, lambda s: F.pow(s, a) / z * F.log(F.pow(s, a) / z)) >= F.lit(entropy)
 
     def within(a: Column) -> Column:  # no source repeats too often at a
-        least, most = F.array_min(shares), F.array_max(shares)
+        least, most = F.array_min(shares)["s"], F.array_max(shares)["s"]
         often = (F.pow(most / least, F.lit(1.0) - a) if cover
                  else F.pow(least, a - 1.0) / _sum(shares, lambda s: F.pow(s, a)))
         return often <= F.lit(max_repeat)
@@ -80,22 +80,25 @@ def weights(totals: DataFrame, entropy: float | None = None, max_repeat: float |
         raise ValueError("give a target entropy or a repetition limit")
     if max_repeat is not None and max_repeat < 1:
         raise ValueError("a repetition limit is at least 1")
-    # one number a source, in one row
-    row = totals.where("tokens > 0").agg(F.array_sort(F.collect_list("tokens")).alias("t"))
-    row = row.withColumn("all", F.aggregate("t", F.lit(0).cast("long"), lambda x, y: x + y))
-    row = row.withColumn("s", F.transform("t", lambda x: x / F.col("all")))
+    # one pair a distinct total, in one row
+    row = totals.where("tokens > 0").groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+    row = row.agg(F.array_sort(F.collect_list(F.struct("tokens", "n"))).alias("t"))
+    row = row.withColumn("all", F.aggregate("t", F.lit(0).cast("long"), lambda x, y: x + y["tokens"] * y["n"]))
+    row = row.withColumn("s", F.transform("t", lambda x: F.struct((x["tokens"] / F.col("all")).alias("s"), x["n"].alias("n"))))
     row = row.withColumn("a", exponent(F.col("s"), entropy, max_repeat, cover))
     row = row.withColumn("z", _sum(F.col("s"), lambda s: F.pow(s, F.col("a"))))
     budget = F.col("all") if budget_tokens is None else F.lit(budget_tokens)
     if cover:
-        budget = F.aggregate("t", F.lit(0.0), lambda x, y: F.greatest(x, y / (F.pow(y / F.col("all"), F.col("a")) / F.col("z"))))
+        budget = F.aggregate("t", F.lit(0.0), lambda x, y: F.greatest(
+            x, y["tokens"] / (F.pow(y["tokens"] / F.col("all"), F.col("a")) / F.col("z"))))
     # one value, evaluated once
     mixed = row.select(F.struct("all", "a", "z", budget.cast("double").alias("budget"))).scalar()
     got = totals.withColumn("_m", mixed).select("source", "tokens", "_m.all", "_m.a", "_m.z", "_m.budget")
     w = F.pow(F.col("tokens") / F.col("all"), F.col("a")) / F.col("z")
     got = got.withColumn("weight", F.when(F.col("tokens") > 0, w).otherwise(F.lit(0.0)))
-    # with cover the quota of the largest source is its tokens, whatever the rounding
-    return got.select("source", "tokens", "weight", "a", F.floor(F.col("weight") * F.col("budget") + F.lit(1e-6)).cast("long").alias("quota"))
+    quota = F.floor(F.col("weight") * F.col("budget") + F.lit(1e-6)).cast("long")
+    # with cover each source has one full block at least, whatever the rounding
+    return got.select("source", "tokens", "weight", "a", (F.greatest(quota, F.col("tokens")) if cover else quota).alias("quota"))
 
 
 def _crossing(sums: DataFrame, rest: str) -> DataFrame:

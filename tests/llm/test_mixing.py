@@ -57,6 +57,18 @@ def test_cover_keeps_every_row(spark):
         "sum(size(split(text, ' ')))").first()[0] in range(480, 501)
 
 
+def test_cover_of_sources_beyond_2_33_words(spark):
+    totals = spark.createDataFrame([("a", 1 << 50), ("b", (1 << 53) + 1)], "source string, tokens long")
+    assert mixing.weights(totals, max_repeat=1.25, cover=True).where("quota < tokens").count() == 0
+
+
+def test_equal_totals_count_as_often_as_they_occur(spark):
+    totals = spark.createDataFrame([(str(i), 100 if i < 8 else 700) for i in range(10)], "source string, tokens long")
+    got = mixing.weights(totals, max_repeat=2.0).toPandas()
+    assert abs(got.weight.sum() - 1) < 1e-9 and abs((got.weight * 2200 / got.tokens).max() - 2) < 1e-6
+    assert abs(got.weight[0] - 200 / 2200) < 1e-6
+
+
 def test_edge_cases(spark):
     rows = [(None, None, "s", 1), (1, "", "s", 2), (2, "a b", None, 3), (2, "a b", None, 4), (3, "x " * 50_000, "t", 5),
             (4, " ", "empty", 6)]
