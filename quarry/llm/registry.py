@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import fingerprint, html_text, mixing, packing, pitman_yor, prob_minhash, projections, quality, suffix_dedup, token_files
+from quarry.llm import (
+    fingerprint, html_text, mixing, packing, pitman_yor, prob_minhash, projections, quality, sharding, suffix_dedup, token_files,
+)
 
 QUERIES = {
     "op1_document_fingerprints": fingerprint.op1_document_fingerprints,
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_minhash_near_dedup": prob_minhash.op10_minhash_near_dedup,
+    "op11_lpt_sharding": sharding.op11_lpt_sharding,
 }
-ORACLES: dict[str, str] = {"op5_temperature_mixing": mixing.OP5_SQL}
+ORACLES: dict[str, str] = {"op5_temperature_mixing": mixing.OP5_SQL, "op11_lpt_sharding": sharding.OP11_SQL}
