@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm import (
-    fingerprint, html_text, merkle, mixing, packing, pitman_yor, prob_minhash, projections, quality, sharding, suffix_dedup, token_files,
+    fingerprint, html_text, merkle, mixing, packing, periodic, pitman_yor, prob_minhash, projections, quality, sharding, suffix_dedup, token_files,
 )
 
 QUERIES = {
@@ -19,5 +19,6 @@ QUERIES = {
     "op10_minhash_near_dedup": prob_minhash.op10_minhash_near_dedup,
     "op11_lpt_sharding": sharding.op11_lpt_sharding,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op5_temperature_mixing": mixing.OP5_SQL, "op11_lpt_sharding": sharding.OP11_SQL}
