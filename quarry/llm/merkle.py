@@ -11,8 +11,8 @@ that holds a third of all rows is built by all tasks; levels grow with the logar
 
 Checked: ``WITH RECURSIVE`` starts from every leaf's digest as recomputed from the rows
 in hand, joins the parent's row, puts the digest in its slot between the stored siblings, hashes,
-appends the siblings to the proof and goes on to the parent's parent; where no parent is left the folded
-digest is compared with the stored root. A proof is one digest per sibling, at most 7 a level.
+appends a row with the siblings met and goes on to the parent's parent; where no parent is left the folded
+digest is compared with the stored root. The proof is a leaf's siblings end to end in the order of its steps, at most 7 a level.
 
 H is the lowercase hex SHA-256 of its inputs end to end, digests as hex text; between steps
 digests are kept as 32 bytes.
@@ -61,9 +61,11 @@ def leaf_digest(*cols: Column) -> Column:
 
 @dataclass
 class Manifest:
-    """``leaves`` (carried columns, tree, idx, leaf and the link to the parent), ``nodes`` (inner nodes) and ``root``."""
+    """``leaves`` (the given columns, leaf_no, tree, idx and the link to the parent), ``nodes`` (inner nodes),
+    ``subroots`` (tree, subroot) and ``root``."""
     leaves: DataFrame
     nodes: DataFrame
+    subroots: DataFrame
     root: str | None
     levels: int
 
@@ -93,8 +95,7 @@ def linked(nodes: DataFrame, trees: int) -> DataFrame:
         "up_tree": F.when(~root, F.when(sub, top).otherwise(F.col("tree"))),
         "up_level": F.when(~root, F.when(sub, F.lit(1)).otherwise(F.col("level") + 1)),
         "up_idx": F.when(~root, F.floor(place / FAN).cast("long")),
-        "up_slot": F.when(~root, F.pmod(place, F.lit(FAN)).cast("int")),
-        "subroot": F.when(last & (F.col("tree") != top), F.unhex("hash"))})
+        "up_slot": F.when(~root, F.pmod(place, F.lit(FAN)).cast("int"))})
 
 
 def build(rows: DataFrame) -> Manifest:
@@ -108,6 +109,7 @@ def build(rows: DataFrame) -> Manifest:
     seen = count.agg(F.count(F.lit(1)), F.max("n")).first()
     trees, most = seen[0], seen[1] or 0
     leaves = placed.join(count, "tree").withColumns({"level": F.lit(0), "hash": F.col("leaf")})
+    leaves = leaves.withColumn("leaf_no", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_row"))
     leaves = keep(linked(leaves, trees).drop("_part", "_row"))
     cols = ["tree", "ord", "n", "idx", "hash"]
     cur, level, made, subs = leaves.select(*cols), 0, [], []
@@ -119,17 +121,18 @@ def build(rows: DataFrame) -> Manifest:
         cur, level, most = made[-1].select(*cols), level + 1, -(-most // FAN)
     depth = level
     # the tree of subroots
-    cur = reduce(DataFrame.unionByName, subs).select(F.lit(_TOP).alias("tree"), F.lit(0).cast("long").alias("ord"),
+    subs = keep(reduce(DataFrame.unionByName, subs))
+    cur = subs.select(F.lit(_TOP).alias("tree"), F.lit(0).cast("long").alias("ord"),
                                                      F.lit(trees).cast("long").alias("n"), F.col("ord").alias("idx"), "hash")
     level, left = 0, trees
     while left > 1:
         made.append(keep(_level(cur, level, trees)))
         cur, level, left = made[-1].select(*cols), level + 1, -(-left // FAN)
     found = cur.first()
-    node_cols = ["tree", "level", "idx", "children", "up_tree", "up_level", "up_idx", "up_slot", "subroot"]
+    node_cols = ["tree", "level", "idx", "children", "up_tree", "up_level", "up_idx", "up_slot"]
     none = leaves.limit(0).withColumn("children", F.unhex("hash"))
     nodes = reduce(DataFrame.unionByName, [x.select(*node_cols) for x in made or [none]])
-    return Manifest(leaves, nodes, found["hash"] if found else None, depth + level)
+    return Manifest(leaves, nodes, subs.select("tree", F.col("hash").alias("subroot")), found["hash"] if found else None, depth + level)
 
 
 @contextmanager
@@ -143,29 +146,40 @@ def recursion_rows(spark: SparkSession):
         spark.conf.set(_ROW_LIMIT, was)
 
 
+# A row a leaf and step: what is folded so far, the siblings met in this step, and the next parent. Only the leaf's number,
+# the digest and the parent's key go into the next join; what a leaf carries stays in its first row.
 CLIMB = """
-WITH RECURSIVE climb(leaf_no, up_tree, up_level, up_idx, up_slot, folded, proof, subroot) AS (
-  SELECT leaf_no, up_tree, up_level, up_idx, up_slot, folded, CAST('' AS BINARY), subroot FROM {leaves}
+WITH RECURSIVE climb(leaf_no, step, up_tree, up_level, up_idx, up_slot, folded, siblings, carried) AS (
+  SELECT leaf_no, 0, up_tree, up_level, up_idx, up_slot, folded, CAST('' AS BINARY), carried FROM {leaves}
   UNION ALL
-  SELECT c.leaf_no, n.up_tree, n.up_level, n.up_idx, n.up_slot,
+  SELECT c.leaf_no, c.step + 1, n.up_tree, n.up_level, n.up_idx, n.up_slot,
          unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.up_slot), c.folded, substring(n.children, 32 * c.up_slot + 33)))), 256)),
-         concat(c.proof, substring(n.children, 1, 32 * c.up_slot), substring(n.children, 32 * c.up_slot + 33)),
-         coalesce(c.subroot, n.subroot)
+         concat(substring(n.children, 1, 32 * c.up_slot), substring(n.children, 32 * c.up_slot + 33)), NULL
   FROM climb c JOIN {nodes} n ON n.tree = c.up_tree AND n.level = c.up_level AND n.idx = c.up_idx)
-SELECT leaf_no, folded, proof, subroot FROM climb WHERE up_tree IS NULL
+SELECT leaf_no, step, folded, siblings, carried FROM climb
 """
+#: Leaves whose steps come to one task together: neighbours share most siblings, so their rows compress well.
+_BLOCK_BITS = 9
 
 
 def climb(manifest: Manifest, found: Column) -> DataFrame:
-    """The leaves with ``subroot``, ``root``, ``proof_sha256``, ``folded_root`` (climbed from ``found``, the
+    """The leaves' columns with ``subroot``, ``root``, ``proof_sha256``, ``folded_root`` (climbed from ``found``, the
     hex digest of a leaf as recomputed now) and ``verified``."""
     spark = manifest.leaves.sparkSession
-    start = manifest.leaves.withColumn("folded", F.unhex(found)).withColumn("leaf_no", F.struct("tree", "idx", "id", "leaf"))
-    got = spark.sql(CLIMB, leaves=start.select("leaf_no", "up_tree", "up_level", "up_idx", "up_slot", "folded", "subroot"), nodes=manifest.nodes)
-    got = got.select("leaf_no.*", F.lower(F.hex("subroot")).alias("subroot"), F.lit(manifest.root).alias("root"),
-                     F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), F.lower(F.hex("folded")).alias("folded_root"))
+    start = manifest.leaves.withColumns({"folded": F.unhex(found), "carried": F.struct("tree", "id", F.unhex("leaf").alias("leaf"))})
+    steps = spark.sql(CLIMB, leaves=start.select("leaf_no", "up_tree", "up_level", "up_idx", "up_slot", "folded", "carried"),
+                      nodes=manifest.nodes)
+    steps = steps.withColumn("block", F.shiftright("leaf_no", _BLOCK_BITS)).repartition("block")
+    ascent = F.array_sort(F.collect_list(F.struct("step", "siblings")))
+    got = steps.groupBy("block", "leaf_no").agg(ascent.alias("ascent"), F.max_by("folded", "step").alias("folded"),
+                                                F.first("carried", ignorenulls=True).alias("carried"))
+    proof = F.aggregate("ascent", F.unhex(F.lit("")), lambda p, s: F.concat(p, s["siblings"]))
+    text = lambda c: F.lower(F.hex(c))
+    got = got.select("carried.tree", "carried.id", text("carried.leaf").alias("leaf"), F.lit(manifest.root).alias("root"),
+                     h(text(proof)).alias("proof_sha256"), text("folded").alias("folded_root"))
+    got = got.join(manifest.subroots, "tree").withColumn("verified", F.col("folded_root") == F.col("root"))
     with recursion_rows(spark):
-        return common.stored(got.withColumn("verified", F.col("folded_root") == F.col("root")), "merkle")
+        return common.stored(got, "merkle")
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
