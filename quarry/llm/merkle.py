@@ -193,3 +193,61 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = build(common.stored(rows, "merkle"))
     return climb(m, F.coalesce("other", "leaf")).select(
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+# Levels by a recursive query with grouping, proofs by joining every leaf with the runs above it, the fold by a second recursion;
+# crc32 of an id by its polynomial, a table of 256 entries made from it.
+OP12_SQL = """
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+    FROM range(256) s(i))),
+raw AS (
+  SELECT row_number() OVER () AS r, *, lang IS NULL AS no_lang,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 AS hit
+  FROM documents, tab),
+fields AS (
+  SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+         CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now
+  FROM raw),
+digests AS (
+  SELECT r, doc_id, coalesce('=' || lang, '') AS tree, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(now)) || ':' || now, '-')) AS other FROM fields),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM digests),
+inner_levels(tree, level, idx, hash, n) AS (
+  SELECT tree, 0, idx, leaf, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(hash, '' ORDER BY idx)), (any_value(n) + 7) // 8
+  FROM inner_levels WHERE n > 1 GROUP BY tree, level, idx // 8),
+subs AS MATERIALIZED (SELECT tree, hash, level AS height, row_number() OVER (ORDER BY tree) - 1 AS ord, count(*) OVER () AS n FROM inner_levels WHERE n = 1),
+top_levels(level, idx, hash, n) AS (
+  SELECT 0, ord, hash, n FROM subs
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(hash, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM top_levels WHERE n > 1 GROUP BY level, idx // 8),
+nodes AS MATERIALIZED (
+  SELECT tree, level, idx, hash, n FROM inner_levels UNION ALL SELECT 'top', level, idx, hash, n FROM top_levels),
+root AS (SELECT hash AS root FROM top_levels WHERE n = 1),
+sibs AS (
+  SELECT l.r, 0 AS part, x.level, x.idx, x.hash FROM leaves l JOIN nodes x
+    ON x.tree = l.tree AND x.n > 1 AND x.idx // 8 = l.idx // (8::BIGINT ** (x.level + 1))::BIGINT AND x.idx <> l.idx // (8::BIGINT ** x.level)::BIGINT
+  UNION ALL
+  SELECT l.r, 1, x.level, x.idx, x.hash FROM leaves l JOIN subs s USING (tree) JOIN nodes x
+    ON x.tree = 'top' AND x.n > 1 AND x.idx // 8 = s.ord // (8::BIGINT ** (x.level + 1))::BIGINT AND x.idx <> s.ord // (8::BIGINT ** x.level)::BIGINT),
+proofs AS (SELECT r, sha256(string_agg(hash, '' ORDER BY part, level, idx)) AS proof_sha256 FROM sibs GROUP BY r),
+fold(r, tree, level, idx, x) AS (
+  SELECT r, tree, 0, idx, other FROM leaves
+  UNION ALL
+  SELECT f.r, f.tree, f.level + 1, f.idx // 8, sha256(string_agg(CASE WHEN n.idx = f.idx THEN f.x ELSE n.hash END, '' ORDER BY n.idx))
+  FROM fold f JOIN nodes n ON n.tree = f.tree AND n.level = f.level AND n.idx // 8 = f.idx // 8 WHERE n.n > 1 GROUP BY f.r, f.tree, f.level, f.idx, f.x),
+top_fold(r, level, idx, x) AS (
+  SELECT f.r, 0, s.ord, f.x FROM fold f JOIN subs s ON s.tree = f.tree AND s.height = f.level
+  UNION ALL
+  SELECT f.r, f.level + 1, f.idx // 8, sha256(string_agg(CASE WHEN n.idx = f.idx THEN f.x ELSE n.hash END, '' ORDER BY n.idx))
+  FROM top_fold f JOIN nodes n ON n.tree = 'top' AND n.level = f.level AND n.idx // 8 = f.idx // 8 WHERE n.n > 1 GROUP BY f.r, f.level, f.idx, f.x)
+SELECT l.doc_id, l.leaf, s.hash AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, t.x AS folded_root, t.x = root AS verified
+FROM leaves l JOIN subs s USING (tree) CROSS JOIN root LEFT JOIN proofs p USING (r)
+JOIN (SELECT r, arg_max(x, level) AS x FROM top_fold GROUP BY r) t USING (r)
+"""

@@ -21,4 +21,5 @@ QUERIES = {
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op5_temperature_mixing": mixing.OP5_SQL, "op11_lpt_sharding": sharding.OP11_SQL}
+ORACLES: dict[str, str] = {"op5_temperature_mixing": mixing.OP5_SQL, "op11_lpt_sharding": sharding.OP11_SQL,
+                           "op12_merkle_manifest": merkle.OP12_SQL}
