@@ -25,24 +25,17 @@ from pyspark.sql import functions as F
 
 from quarry.functions.broadcast import dim_broadcast, fits
 from quarry.functions.text import tokenize
+from quarry.operators import blocks
 
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 PAD_BLOCK = 1 << 16
-# Stored postings: term buckets per domain, and files per bucket (a frequent term is split
-# over its bucket's files by chunk).
-TERM_BUCKETS = 64
-TERM_SPLITS = 4
-
-
-def with_term_bucket(df: DataFrame) -> DataFrame:
-    return df.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
 
 
 def replace_domains(df: DataFrame, path: str, *by: str) -> None:
     """Overwrite exactly the partitions that ``df`` holds, whatever the session's default."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+    (df.write.mode("overwrite").options(**blocks.PARQUET).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 
 @dataclass
@@ -50,6 +43,7 @@ class BM25Index:
     postings: DataFrame        # domain, chunk_pos, term, f, dl
     stats: DataFrame           # domain, n_chunks, avgdl, eps
     idf: DataFrame             # domain, term, df, idf
+    stored: blocks.Blocks | None = None   # postings in blocks, when the index was read from tables
 
     def persist(self, postings: bool = True) -> "BM25Index":
         """Cache the index tables; ``postings=False`` when they are a cheap filter over an
@@ -58,20 +52,16 @@ class BM25Index:
                          self.stats.persist(), self.idf.persist())
 
     def write(self, path: str) -> None:
-        """Per-domain replaceable tables. Postings lie by term: a (domain, term bucket) is
-        one directory, sorted by term, so a question batch reads only its terms' buckets
-        and, inside them, its terms' row groups."""
-        post = with_term_bucket(self.postings)
-        replace_domains(post.repartition("domain", "term_bucket", F.pmod(F.xxhash64("chunk_pos"), F.lit(TERM_SPLITS)))
-                            .sortWithinPartitions("domain", "term_bucket", "term", "chunk_pos"),
-                        f"{path}/postings", "domain", "term_bucket")
+        """Per-domain replaceable tables: postings in blocks with bounds, dictionary, statistics."""
+        blocks.write(self.postings, self.stats, self.idf, path, K1, B, replace_domains)
         replace_domains(self.stats, f"{path}/stats", "domain")
-        replace_domains(self.idf, f"{path}/idf", "domain")
 
     @staticmethod
-    def read(spark, path: str) -> "BM25Index":
-        return BM25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"),
-                         spark.read.parquet(f"{path}/idf"))
+    def read(spark, path: str, domains: list[str] | None = None) -> "BM25Index":
+        at = blocks.Blocks.read(spark, path, domains)
+        stats = spark.read.parquet(f"{path}/stats")
+        return BM25Index(at.postings(), stats.where(F.col("domain").isin(domains)) if domains else stats,
+                         at.terms.select("domain", "term", "df", "idf"), at)
 
 
 def tokens(df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:
@@ -94,6 +84,13 @@ def raw_postings(chunks: DataFrame, text_col: str = "content", partitions: int |
              .groupBy("domain", "chunk_pos", "dl", "term").agg(F.count(F.lit(1)).cast("long").alias("f")))
 
 
+def postings_in_place(counted: DataFrame) -> DataFrame:
+    """The rows of :func:`raw_postings` from ``counted(domain, chunk_pos, dl, terms)`` (:func:`with_term_counts`): only an
+    explode, the text is not moved."""
+    t = counted.select("domain", "chunk_pos", "dl", F.explode_outer("terms").alias("t"))
+    return t.select("domain", "chunk_pos", "dl", F.col("t.term").alias("term"), F.col("t.f").alias("f"))
+
+
 def postings(chunks_or_raw: DataFrame, text_col: str = "content") -> DataFrame:
     """B2: (domain, chunk_pos, term, f, dl), from chunks or from :func:`raw_postings`."""
     raw = chunks_or_raw if "term" in chunks_or_raw.columns else raw_postings(chunks_or_raw, text_col)
@@ -128,9 +125,15 @@ def term_idf(post: DataFrame, stats: DataFrame, persist: bool = False) -> tuple[
     return idf, stats.join(eps, "domain", "left")
 
 
-def index_from_raw(raw: DataFrame, persist: bool = True) -> BM25Index:
+def stats_of_lengths(lengths: DataFrame) -> DataFrame:
+    """B3 from one row per chunk (domain, dl)."""
+    return lengths.groupBy("domain").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+
+
+def index_from_raw(raw: DataFrame, persist: bool = True, lengths: DataFrame | None = None) -> BM25Index:
+    """``lengths``: one row per chunk (domain, dl), where the caller has them."""
     post = postings(raw)
-    idf, stats = term_idf(post, corpus_stats(raw), persist=persist)
+    idf, stats = term_idf(post, corpus_stats(raw) if lengths is None else stats_of_lengths(lengths), persist=persist)
     return BM25Index(post, stats, idf)
 
 
@@ -150,8 +153,8 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
 
     Question terms are joined to the idf table (small result, broadcast), then to the
     postings. In-memory postings are partitioned by (domain, chunk_pos), so the
-    per-(question, chunk) sum needs no shuffle; stored postings lie by term, so only the
-    batch's terms are read and one exchange of the matches (partially summed) follows.
+    per-(question, chunk) sum needs no shuffle; of stored postings only the blocks that can bring a
+    chunk into the top k are read (:mod:`quarry.operators.blocks`), and their chunks alone are scored.
     ``question_id`` must be unique per domain.
 
     Candidates are the matched chunks plus the first ``pad`` chunks of the domain (score 0
@@ -163,21 +166,17 @@ def scores(questions: DataFrame, index: BM25Index, k: int = 10, text_col: str =
     """
     qt = question_terms(questions, text_col)
     small = fits(qt, max_broadcast_rows)
-    # idf is unique per (domain, term): |qidf| <= |qt|, so the same check bounds it.
-    qidf = (F.broadcast(qt) if small else qt).join(index.idf, ["domain", "term"])
-    qidf = qidf.join(dim_broadcast(index.stats.select("domain", "avgdl")), "domain")
-    tf_part = (F.col("f") * F.lit(K1 + 1.0)
-               / (F.col("f") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))))
-    post, on = index.postings, ["domain", "term"]
-    if "term_bucket" in post.columns:
-        # Stored by term: only the (domain, bucket) directories of the batch's terms are read;
-        # at most TERM_BUCKETS numbers come back to the driver.
-        qidf, on = with_term_bucket(qidf), ["domain", "term_bucket", "term"]
-        wanted = [r["b"] for r in with_term_bucket(qt).select(F.col("term_bucket").alias("b")).distinct().collect()]
-        post = post.where(F.col("term_bucket").isin(wanted))
-    contrib = (post.join(F.broadcast(qidf) if small else qidf, on)
-                    .select("question_id", "domain", "chunk_pos",
-                            (F.col("qtf") * F.col("idf") * tf_part).alias("v")))
+    if index.stored is not None and small:
+        # Stored: only the blocks that can matter are read (a question's scores beyond its top k may be missing).
+        qidf = blocks.with_terms(qt, index.stored, small).join(dim_broadcast(index.stats.select("domain", "avgdl", "eps")), "domain")
+        contrib = blocks.contributions(qidf, index.stored, k, K1, B)
+    else:
+        # idf is unique per (domain, term): |qidf| <= |qt|, so the same check bounds it.
+        qidf = (F.broadcast(qt) if small else qt).join(index.idf, ["domain", "term"])
+        qidf = qidf.join(dim_broadcast(index.stats.select("domain", "avgdl")), "domain")
+        contrib = (index.postings.join(F.broadcast(qidf) if small else qidf, ["domain", "term"])
+                        .select("question_id", "domain", "chunk_pos", (F.col("qtf") * F.col("idf") * blocks.factor(
+                            F.col("f"), F.col("dl"), F.col("avgdl"), K1, B)).alias("v")))
     st = dim_broadcast(index.stats)
     qs = questions.select("question_id", "domain").distinct()
     n_parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -70,6 +70,27 @@ def embed_postings(raw: DataFrame, dim: int = DIM, out: str = "vec") -> DataFram
     return _dense_from_buckets(t, ["domain", "chunk_pos"], dim, out)
 
 
+def embed_terms(df: DataFrame, terms: str = "terms", dim: int = DIM, out: str = "vec") -> DataFrame:
+    """The same hash vectors row by row from term counts (:func:`quarry.functions.text.with_term_counts`): signed counts
+    sorted by bucket, summed between the places where a bucket begins. No row is moved or exploded."""
+    def one(t):
+        bucket, sign = _hash_parts(t["term"])
+        return F.struct(F.pmod(bucket, F.lit(dim)).alias("b"), (sign * t["f"]).cast("double").alias("v"))
+
+    t = df.withColumn("__b", F.array_sort(F.transform(terms, one)))
+    n = F.size("__b")
+    t = t.withColumn("__i", F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+                                     lambda i: (i == 0) | (F.get("__b", i)["b"] != F.get("__b", i - 1)["b"])))
+    ends = F.concat(F.slice("__i", 2, F.greatest(F.size("__i"), F.lit(1))), F.array(n))
+    total = lambda i, z: F.aggregate(F.slice("__b", i + 1, z - i), F.lit(0.0), lambda a, x: a + x["v"])
+    t = t.withColumn("__m", F.map_from_entries(F.when(n > 0, F.zip_with(
+        "__i", ends, lambda i, z: F.struct(F.get("__b", i)["b"].alias("k"), total(i, z).alias("v"))))
+        .otherwise(F.array().cast("array<struct<k:bigint,v:double>>"))))
+    t = t.withColumn("__n", F.sqrt(F.aggregate(F.map_values("__m"), F.lit(0.0), lambda a, v: a + v * v)))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0)) / F.col("__n"))
+    return t.withColumn(out, F.when(F.col("__n") > 0, dense).otherwise(F.array_repeat(F.lit(0.0), dim))).drop("__b", "__i", "__m", "__n")
+
+
 def _dense_from_buckets(t: DataFrame, key_cols: list[str], dim: int, out: str) -> DataFrame:
     per_bucket = t.groupBy(*key_cols, "_bk").agg(F.sum("_sg").cast("double").alias("_v"))
     per_row = per_bucket.groupBy(*key_cols).agg(

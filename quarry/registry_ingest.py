@@ -94,7 +94,7 @@ def q_ingest_stats(spark, sf_dir):
     """Full ingest (window chunks, vectors, index) into the shared folder; per-domain
     pages, chunks counted before the write, stored rows and the missing-source warning."""
     t = SourceTables(spark, sf_dir)
-    return ingest_plan.ingest(t.pages(), t.catalog(), shared_dir(spark, "collection"), chunking.chunk_windows)
+    return ingest_plan.ingest(t.pages(), t.catalog(), shared_dir(spark, "collection"), chunking.chunk_windows, in_order=True)
 
 
 @register("collection_roundtrip", f"""WITH {PAGES_CTE}
@@ -118,6 +118,15 @@ def q_scan_domain(spark, sf_dir):
     return ingest_plan.read_collection(spark, root, ["fr"]).chunks.select("domain", "chunk_pos", "page")
 
 
+@register("bm25_topk_stored", f"WITH {BM25_CTE} SELECT * FROM bm25top")
+def q_bm25_topk_stored(spark, sf_dir):
+    """B5/B6 over a written index: blocks of the batch's terms only."""
+    t = SourceTables(spark, sf_dir)
+    root = shared_dir(spark, "collection")
+    t.collection().index.write(root)
+    return bm25.bm25_topk(t.questions(), bm25.BM25Index.read(spark, root))
+
+
 # ---------------------------------------------------------------- index tables
 @register("tokenize", f"""WITH {BM25_CTE}
 SELECT domain, chunk_pos, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM toks""")

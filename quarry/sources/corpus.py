@@ -1,7 +1,7 @@
 """Page and chunk tables (S1, S2, P1) and question tables.
 
 Page numbers and corpus positions are dense 0-based positions inside a domain,
-computed by :func:`quarry.functions.ordinal.dense_position` so that a domain holding a
+computed by :mod:`quarry.functions.ranges` so that a domain holding a
 third of all pages is still spread over many tasks.
 """
 
@@ -10,22 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import ranges
 from quarry.functions.broadcast import dim_broadcast
-from quarry.functions.ordinal import dense_position
 from quarry.functions.text import prefix_key
 
 PAGES_SCHEMA = "domain string, file string, page long, text string"
 
 
-def load_pages(docs: DataFrame, domain_col: str, file_col: str, order_col: str, text_col: str,
-               width: int | None = None) -> DataFrame:
+def load_pages(docs: DataFrame, domain_col: str, file_col: str, order_col: str, text_col: str) -> DataFrame:
     """A table of source rows becomes pages: ``page`` is the 0-based position of the row
-    in its file, ordered by ``order_col``."""
+    in its file, ordered by ``order_col``. The text moves once, into ranges of (domain, file, order), and is kept
+    there (:func:`quarry.functions.ranges.ranged`): rows come in order and chunks can be cut and numbered in place."""
     base = docs.select(F.col(domain_col).alias("domain"), F.col(file_col).alias("file"),
                        F.col(order_col).alias("_order"), F.col(text_col).alias("text"))
-    kw = {"width": width} if width else {}
-    pos = dense_position(base, ["domain", "file"], ["_order"], out="_page", **kw)
-    return pos.select("domain", "file", F.col("_page").alias("page"), "_order", "text")
+    placed = ranges.ranged(base, ["domain", "file", "_order"])
+    # files are catalog entries: at most ranges + files bases
+    pos = ranges.positions(placed, ["domain", "file"], "page", small=True)
+    return pos.select("domain", "file", "page", "_order", "text")
 
 
 def available_domains(cat: DataFrame, pages: DataFrame) -> DataFrame:
