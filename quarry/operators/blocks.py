@@ -2,12 +2,10 @@
 
 A stored row is one (domain, term, block of 2^12 corpus positions): the postings of the block as three
 arrays (offset in the block, f, dl), their number and ``max_tf``, the greatest BM25 term
-factor in it. Rows lie in ascending order of ``at`` = (octave of the term's df, 37 bits of its hash, block
-number), dealt by ``repartitionByRange``: files and row groups follow from the bytes of the postings, a frequent term
-is cut at block borders, and ``at`` has the Parquet statistics that skip row groups and pages. Octaves put
-frequent terms, few and long, apart from rare ones, so that a range over neighbouring rare terms reads little more than it
-wants. A domain's directories (``term_bucket``, the leading bits of ``at``) are as many as its tokens ask for.
-The dictionary (``terms``: df, idf, max_tf, at, term_bucket) lies by the term's hash.
+factor in it. Rows are made by one exchange on (term, block), so a frequent term is spread over all tasks, and
+every file is sorted by ``at`` = (hash of the term, block number), whose Parquet statistics skip row groups and
+pages. Files follow from the bytes of the postings (AQE); a domain's directories (``term_bucket``, the leading bits of the
+hash) are as many as its tokens ask for. The dictionary (``terms``: df, idf, max_tf, at, term_bucket) is sorted by the hash.
 
 A batch of questions is answered by bounds (MaxScore over a batch):
 
@@ -35,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 12
-_BLOCK_NO_BITS, _HASH_BITS = 20, 37
+_BLOCK_NO_BITS, _HASH_BITS = 20, 43
 RANGES = 128
 #: Keys of a domain up to which a scan is given the keys themselves, and the setting that lets Spark hand so many to Parquet.
 KEYS = 1500
@@ -58,10 +56,9 @@ def term_hash(term: str | Column = "term") -> Column:
     return F.shiftrightunsigned(F.xxhash64(term), 64 - _HASH_BITS)
 
 
-def term_at(term: str | Column, df: Column) -> Column:
+def term_at(term: str | Column = "term") -> Column:
     """``at`` of a term's block 0."""
-    octave = F.floor(F.log2(df)).cast("long")
-    return F.shiftleft(F.shiftleft(octave, _HASH_BITS) + term_hash(term), _BLOCK_NO_BITS)
+    return F.shiftleft(term_hash(term), _BLOCK_NO_BITS)
 
 
 def block_at(at: Column, block: Column) -> Column:
@@ -71,53 +68,48 @@ def block_at(at: Column, block: Column) -> Column:
 def bucket(at: Column, tokens: Column) -> Column:
     """Directory of ``at`` within a domain of so many tokens: leading bits of the term's hash."""
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(tokens, F.lit(1)) / F.lit(BUCKET_TOKENS)))).cast("int")
-    h = F.shiftright(at, _BLOCK_NO_BITS).bitwiseAND((1 << _HASH_BITS) - 1)
-    return F.call_function("shiftright", h, F.lit(_HASH_BITS) - bits).cast("int")
+    return F.call_function("shiftright", F.shiftright(at, _BLOCK_NO_BITS), F.lit(_HASH_BITS) - bits).cast("int")
 
 
 def factor(f: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
     return f * F.lit(k1 + 1.0) / (f + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / avgdl))
 
 
-def to_blocks(postings: DataFrame, words: DataFrame, stats: DataFrame, k1: float, b: float, bits: int = BLOCK_BITS) -> DataFrame:
-    """Block rows of ``postings(domain, chunk_pos, term, f, dl)`` in ranges of (domain, bucket, at): the exchange by
-    range is reused by the aggregation into blocks. ``words``: (domain, term, at, term_bucket)."""
-    p = postings.join(words, ["domain", "term"]).join(F.broadcast(stats.select("domain", "avgdl")), "domain")  # one row per domain
+def to_blocks(postings: DataFrame, stats: DataFrame, k1: float, b: float, bits: int = BLOCK_BITS) -> DataFrame:
+    """Block rows of ``postings(domain, chunk_pos, term, f, dl)``, sorted by (domain, bucket, at) in each partition."""
+    dims = stats.select("domain", "avgdl", (F.col("n_chunks") * F.col("avgdl")).alias("tokens"))
+    p = postings.join(F.broadcast(dims), "domain")  # one row per domain
     block = F.shiftright("chunk_pos", bits)
-    p = p.select("domain", "term_bucket", block_at(F.col("at"), block).alias("at"), "term", block.alias("block"),
+    p = p.select("domain", "term", block.alias("block"), "tokens",
                  F.struct((F.col("chunk_pos") - F.shiftleft(block, bits)).cast("int").alias("o"), F.col("f").cast("int").alias("f"),
                           F.col("dl").cast("int").alias("dl")).alias("p"),
                  factor(F.col("f"), F.col("dl"), F.col("avgdl"), k1, b).alias("tf"))
-    keys = ["domain", "term_bucket", "at"]
-    p = p.repartitionByRange(*keys).groupBy(*keys, "term", "block").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.array_sort(F.collect_list("p")).alias("p"))
-    return p.select(*keys, F.shiftright("at", _BLOCK_NO_BITS).alias("head"), "term", "block", "n", "max_tf", F.col("p.o").alias("o"), F.col("p.f").alias("f"),
-                    F.col("p.dl").alias("dl")).sortWithinPartitions(*keys)
+    p = p.groupBy("domain", "term", "block").agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.array_sort(F.collect_list("p")).alias("p"), F.max("tokens").alias("tokens"))
+    p = p.withColumn("at", block_at(term_at(), F.col("block"))).withColumn("term_bucket", bucket(F.col("at"), F.col("tokens")))
+    return p.select("domain", "term_bucket", "at", F.shiftright("at", _BLOCK_NO_BITS).alias("head"), "term", "block", "n", "max_tf",
+                    F.col("p.o").alias("o"), F.col("p.f").alias("f"), F.col("p.dl").alias("dl")).sortWithinPartitions("domain", "term_bucket", "at")
 
 
 def write(postings: DataFrame, stats: DataFrame, idf: DataFrame, path: str, k1: float, b: float, replace) -> None:
     """``replace(df, path, *by)`` writes a partitioned table, replacing the partitions it holds."""
-    spark = postings.sparkSession
     dims = stats.select("domain", (F.col("n_chunks") * F.col("avgdl")).alias("tokens"))  # one row per domain
-    words = idf.withColumn("at", term_at("term", F.col("df"))).join(F.broadcast(dims), "domain")
-    words = words.withColumn("term_bucket", bucket(F.col("at"), F.col("tokens"))).drop("tokens")
-    replace(to_blocks(postings, words.select("domain", "term", "at", "term_bucket"), stats, k1, b), f"{path}/postings", "domain", "term_bucket")
-    made = spark.read.parquet(f"{path}/postings").join(F.broadcast(dims.select("domain")), "domain", "left_semi")
-    words = words.join(made.groupBy("domain", "term").agg(F.max("max_tf").alias("max_tf")), ["domain", "term"])
-    words = words.select("domain", term_hash().alias("hash"), "term", "df", "idf", "max_tf", "at", "term_bucket")
-    replace(words.repartitionByRange("domain", "hash").sortWithinPartitions("domain", "hash"), f"{path}/idf", "domain")
-
-
-def ranges_of(starts: np.ndarray, ends: np.ndarray, weight: np.ndarray | None = None, most: int = RANGES) -> list[tuple[int, int]]:
-    """At most ``most`` ranges that hold all [start, end]; the gaps that cost most to read stay open (their width times
-    the ``weight`` of the start after them)."""
+    replace(to_blocks(postings, stats, k1, b), f"{path}/postings", "domain", "term_bucket")
+    made = postings.sparkSession.read.parquet(f"{path}/postings").join(F.broadcast(dims.select("domain")), "domain", "left_semi")
+    words = idf.join(made.groupBy("domain", "term").agg(F.max("max_tf").alias("max_tf")), ["domain", "term"]).join(F.broadcast(dims), "domain")
+    words = words.withColumn("at", term_at()).select("domain", term_hash().alias("hash"), "term", "df", "idf", "max_tf", "at",
+                                                     bucket(F.col("at"), F.col("tokens")).alias("term_bucket"))
+    replace(words.sortWithinPartitions("domain", "hash"), f"{path}/idf", "domain")
+
+
+def ranges_of(starts: np.ndarray, ends: np.ndarray, most: int = RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all [start, end]; the widest gaps stay open."""
     at = np.argsort(starts, kind="stable")
     starts, ends = starts[at], np.maximum.accumulate(ends[at])
-    gap = (starts[1:] - ends[:-1]).astype(np.float64)
-    cost = gap if weight is None else gap * weight[at][1:]
+    gap = starts[1:] - ends[:-1]
     cuts = np.flatnonzero(gap > 1)
     if len(cuts) >= most:
-        cuts = np.sort(cuts[np.argsort(cost[cuts], kind="stable")[len(cuts) - most + 1:]])
+        cuts = np.sort(cuts[np.argsort(gap[cuts], kind="stable")[len(cuts) - most + 1:]])
     first, last = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(starts) - 1]))
     return list(zip(starts[first].tolist(), ends[last].tolist(), strict=True))
 
@@ -170,9 +162,7 @@ class Blocks:
             at = own[key].to_numpy()
             if len(own) <= KEYS:
                 return table.where(out & F.col("head" if width > 1 else key).isin((at >> _BLOCK_NO_BITS if width > 1 else at).tolist()))
-            # a term of the octave above has about twice the postings
-            heavy = 2.0 ** (at >> (_HASH_BITS + _BLOCK_NO_BITS)) if key == "at" else None
-            return table.where(out).where(condition(key, ranges_of(at, at + (width - 1), heavy)))
+            return table.where(out).where(condition(key, ranges_of(at, at + (width - 1))))
 
         if keys["domain"].nunique() > SCANS:
             return part(keys)

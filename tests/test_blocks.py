@@ -17,7 +17,7 @@ from tests.conftest import SF_MID, SF_SMALL
 @given(st.lists(st.tuples(st.integers(-50, 50), st.integers(0, 5)), min_size=1, max_size=30), st.integers(1, 6))
 def test_ranges_hold_all_and_are_few(spans, most):
     starts = np.array([a for a, _ in spans])
-    got = blocks.ranges_of(starts, starts + np.array([n for _, n in spans]), None, most)
+    got = blocks.ranges_of(starts, starts + np.array([n for _, n in spans]), most)
     assert len(got) <= max(1, most) and all(any(x <= a and a + n <= y for x, y in got) for a, n in spans)
     assert all(y < x2 for (_, y), (x2, _) in zip(got, got[1:]))
 
