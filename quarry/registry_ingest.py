@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
-from quarry.operators import bm25, chunking, vector
+from quarry.operators import bm25, chunking, ivf, vector
 from quarry.plans import ingest as ingest_plan
 from quarry.plans import search
 from quarry.registry import BM25_CTE, PAGES_CTE, register
@@ -193,3 +193,28 @@ def q_vector_topk_lsh(spark, sf_dir):
     yes = F.lit(True)
     return v.select(F.col("chunk_pos").alias("question_id")).join(per, "question_id", "left").select(
         "question_id", *[F.coalesce(c, yes).alias(c) for c in ("at_most_k", "own_domain", "exact", "in_order")])
+
+
+@register("vector_topk_ivf", """
+SELECT vec_id AS question_id, true AS at_most_k, true AS own_domain, true AS exact, true AS recall_ok FROM embeddings""")
+def q_vector_topk_ivf(spark, sf_dir):
+    """E4 over a stored index: at most k hits of the own label with exact distances, and over all questions at
+    least 0.9 of the exact neighbours."""
+    v = SourceTables(spark, sf_dir).vectors()
+    corpus = v.select("domain", "chunk_pos", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    qs = corpus.select(F.col("chunk_pos").alias("question_id"), "domain", F.col("vec").alias("qvec"), F.col("chunk_pos").alias("self_pos"))
+    root = shared_dir(spark, "ivf")
+    ivf.build(corpus, root)
+    hits = ivf.search(qs, root, 10, exclude_self=True)
+    true = vector.vector_topk(qs, corpus, 10, exclude_self=True).select("question_id", "chunk_pos", F.lit(1).alias("_true"))
+    a = corpus.select(F.col("chunk_pos").alias("question_id"), F.col("domain").alias("_d"), F.col("vec").alias("_a"))
+    b = corpus.select("chunk_pos", F.col("domain").alias("_e"), F.col("vec").alias("_b"))
+    j = hits.join(a, "question_id").join(b, "chunk_pos").join(true, ["question_id", "chunk_pos"], "left")
+    per = j.groupBy("question_id").agg(
+        (F.count(F.lit(1)) <= 10).alias("at_most_k"), F.bool_and((F.col("_d") == F.col("_e")) & (F.col("domain") == F.col("_d"))).alias("own_domain"),
+        F.bool_and(F.abs(vector.sq_l2("_a", "_b") - F.col("distance")) < 1e-5).alias("exact"), F.sum("_true").alias("_found"))
+    want = true.groupBy("question_id").agg(F.sum("_true").alias("_want"))
+    per = v.select(F.col("chunk_pos").alias("question_id")).join(per, "question_id", "left").join(want, "question_id", "left")
+    total = per.agg((F.coalesce(F.sum("_found"), F.lit(0)) >= 0.9 * F.coalesce(F.sum("_want"), F.lit(0))).alias("recall_ok"))
+    yes = F.lit(True)
+    return per.select("question_id", *[F.coalesce(c, yes).alias(c) for c in ("at_most_k", "own_domain", "exact")]).withColumn("recall_ok", total.scalar())
