@@ -7,13 +7,15 @@ With c customers and t tables of word w, C and T of the restaurant, the predicti
 
     p(w | u) = (c - d t) / (theta + C) + (theta + d T) / (theta + C) * p(w),
 
-and likewise for the parent with its base. Seatings are sampled: customers are seated one
-after the other, then in each round a random customer of every word leaves its table and sits anew at a table in
-proportion to its size less d, or at a new one in proportion to (theta + d T) p(w). Words of more than
-``SINGLY`` customers in one restaurant are reseated as a whole, table by table, in time proportional to their tables. The rule is linear in the
+and likewise for the parent with its base. Seatings are sampled by Gibbs, a section (the customers of
+one word in one restaurant) at a time: all customers of a section leave, and the number of tables at which they sit
+anew is drawn from its exact distribution given the other words' tables T', where t tables weigh S(c, t) times the product of
+(theta + d (T' + j)) p(w) over j < t, S being the generalised Stirling number of all ways to seat c customers at t tables. Only
+the number of tables enters a prediction, so their sizes are summed out. The words of a restaurant take turns in ``TURNS``
+groups; those of one group are drawn given the same tables. The rule is linear in the
 tables, so averaged predictive probabilities are those of averaged table counts, level by
-level. While contexts are seated the parent is held at the base unigram; the parent is seated
-after them from their tables.
+level. While contexts are seated the parent is held at the base unigram, its counts rounded to an eighth of a
+binary logarithm; the parent is seated after them from their tables.
 
 On Spark: texts are hashed (64 bits a word) into chunks with a dictionary each. A chunk sends each
 dictionary word once to the word's partition and gets its corpus count and a number back
@@ -52,7 +54,12 @@ PART_BYTES = 8 << 20
 #: Discounts and strengths of contexts and of their parent.
 D2, THETA2, D1, THETA1 = 0.75, 1.0, 0.65, 10.0
 ROUNDS, BURN_IN = 8, 3
-SINGLY = 64
+#: Sections of more customers take their weights from this many by scaling.
+EXACT = 1 << 14
+#: Columns of the first try, cells of one block, and the logarithm of a weight that ends a section's columns.
+NARROW, CELLS, NEGLIGIBLE = 64, 1 << 19, 35.0
+#: The words of a restaurant are drawn in so many turns a round.
+TURNS = 4
 FREQUENT = 1000
 
 
@@ -63,46 +70,84 @@ def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------- seating
-def events(c: np.ndarray, a: np.ndarray, grow: np.ndarray, d: float, rng) -> np.ndarray:
-    """Tables of ``c`` customers of one word each, seated in order. ``a`` is the weight of the
-    first new table and ``grow`` what a table adds to it; the wait for the next new table is
-    drawn at once, so the time is that of the tables."""
-    t = np.ones(len(c), np.int64)
-    n = np.ones(len(c))
-    live = np.arange(len(c))
-    while len(live):
-        w = a[live] + grow[live] * t[live]
-        # chance of no new table from n to m customers: ((n - d t) / (m - d t)) ** w, about
-        free = n[live] - d * t[live]
-        n[live] = np.minimum(d * t[live] + free * rng.random(len(live)) ** (-1 / w), 1e18) + 1
-        live = live[n[live] <= c[live]]
-        t[live] += 1
-    return t
-
-
-def join_table(label, size, at, i, c, d, rng) -> np.ndarray:
-    """A table for customer ``i`` of each row, in proportion to its size less d: that of a
-    random other of the ``c`` customers, taken with probability (size - d) / size."""
-    out = np.empty(len(at), np.int64)
-    todo = np.arange(len(at))
-    while len(todo):
-        other = (i[todo] + 1 + (rng.random(len(todo)) * (c[todo] - 1)).astype(np.int64)) % c[todo]
-        k = label[at[todo] + other]
-        ok = rng.random(len(todo)) * size[at[todo] + k] < size[at[todo] + k] - d
-        out[todo[ok]] = k[ok]
-        todo = todo[~ok]
+def seatings(d: float, wanted: np.ndarray, width: int) -> np.ndarray:
+    """Logarithm of the summed weights of all ways to seat n customers of one word at t tables, but for the new tables'
+    own weights: row per n of ``wanted`` (ascending), column t - 1, -inf beyond n. With S(n, t) = S(n-1, t-1) +
+    (n - 1 - d t) S(n-1, t). Beyond ``EXACT`` customers, t tables of n are as likely as t (EXACT / n)^d of EXACT: the
+    sum of t independent table sizes has this scaling limit, off by some EXACT^-d (under 0.1 %)."""
+    out = np.full((len(wanted), width), -np.inf)
+    exact = wanted[wanted <= EXACT]
+    over = wanted[wanted > EXACT]
+    t = np.arange(1, width + 1)
+    top = EXACT if len(over) else int(exact[-1])
+    # the last row's columns that the scaling asks for, with two at least for its slope
+    columns = min(top, width)
+    row = np.full(columns, -np.inf)
+    row[0] = 0.0
+    at = dict(zip(exact.tolist(), range(len(exact)), strict=True))
+    if 1 in at:
+        out[at[1], 0] = 0.0
+    with np.errstate(divide="ignore"):
+        for n in range(2, top + 1):
+            k = min(n, columns)
+            stay = row[:k] + np.log(np.maximum(n - 1 - d * t[:k], 0))
+            stay[1:] = np.logaddexp(stay[1:], row[:k - 1])
+            row[:k] = stay
+            if n in at:
+                out[at[n], :k] = row[:k]
+    if len(over):
+        lf = np.cumsum(np.log(t))
+        smooth = row + lf[:columns] + t[:columns] * np.log(d) - np.log(t[:columns])
+        for i, n in enumerate(over.tolist(), len(exact)):
+            k = min(n, width)
+            as_if = t[:k] * (EXACT / n) ** d
+            h = np.where(as_if < 1, smooth[0] + (smooth[1] - smooth[0]) * (as_if - 1), np.interp(as_if, t[:columns], smooth))
+            out[i, :k] = h + np.log(t[:k]) - lf[:k] - t[:k] * np.log(d)
     return out
 
 
-def free_label(size, at, c, rng) -> np.ndarray:
-    out = np.empty(len(at), np.int64)
-    todo = np.arange(len(at))
-    while len(todo):
-        k = (rng.random(len(todo)) * c[todo]).astype(np.int64)
-        ok = size[at[todo] + k] == 0
-        out[todo[ok]] = k[ok]
-        todo = todo[~ok]
-    return out
+class Sections:
+    """Draws the number of tables of many (restaurant, word) sections at once, given the tables of
+    the other words. Section weights are tabulated once per width."""
+
+    def __init__(self, c: np.ndarray, d: float, theta: float):
+        self.c, self.d, self.theta, self.tables = c, d, theta, {}
+
+    def weights(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self.tables:
+            # a section is first tried with the power of two at its customers, or NARROW columns
+            wanted = np.unique(self.c[self.c > (width // 2 if width <= NARROW else NARROW)])
+            wanted = wanted[wanted <= width] if width < NARROW else wanted
+            self.tables = {w: x for w, x in self.tables.items() if w <= NARROW}
+            self.tables[width] = wanted, seatings(self.d, wanted, width)
+        return self.tables[width]
+
+    def draw(self, rows: np.ndarray, others: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
+        """Tables of the sections ``rows`` (two customers or more), whose restaurants have ``others`` tables of other words."""
+        out = np.empty(len(rows), np.int64)
+        u = rng.random(len(rows))
+        first = np.minimum(1 << np.ceil(np.log2(self.c[rows])).astype(np.int64), NARROW)
+        todo, width = np.zeros(0, np.int64), 2
+        while len(todo) or width <= NARROW:
+            if width <= NARROW:
+                todo = np.concatenate((todo, np.flatnonzero(first == width)))
+            open_ = []
+            if len(todo):
+                wanted, table = self.weights(width)
+                j = np.arange(width)
+                step = max(1, CELLS // width)
+                for a in range(0, len(todo), step):
+                    x = todo[a:a + step]
+                    w = table[np.searchsorted(wanted, self.c[rows[x]])]
+                    w = w + np.cumsum(np.log((self.theta + self.d * (others[x, None] + j)) * p[x, None]), axis=1)
+                    best = w.max(axis=1)
+                    whole = (self.c[rows[x]] <= width) | (w[:, -1] < best - NEGLIGIBLE)
+                    cum = np.cumsum(np.exp(w - best[:, None]), axis=1)
+                    out[x] = 1 + np.minimum((u[x, None] * cum[:, -1:] >= cum).sum(axis=1), width - 1)
+                    open_.append(x[~whole])
+            todo = np.concatenate(open_) if open_ else np.zeros(0, np.int64)
+            width *= 2
+        return out
 
 
 def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, d: float, theta: float, scale: np.ndarray, seed: int,
@@ -111,51 +156,19 @@ def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, d: float, theta: float,
     of one word in restaurant ``room``, whose parent gives the word probability ``p``.
     ``scale``: what a restaurant's tables here are multiplied by for its total."""
     rng = np.random.default_rng(seed)
-    n_rooms = len(scale)
     t = np.ones(len(c), np.int64)
-
-    def weight(rows):
-        total = np.bincount(room, t, n_rooms) * scale
-        return (theta + d * total[room[rows]]) * p[rows]
-
-    some, many = np.flatnonzero((c > 1) & (c <= SINGLY)), np.flatnonzero(c > SINGLY)
-    cs = c[some]
-    at = np.cumsum(cs) - cs
-    label = np.zeros(int(cs.sum()), np.int64)
-    size = np.zeros(int(cs.sum()), np.int64)
-    size[at] = 1
-    by_size = np.argsort(-cs, kind="stable")
-    for n in range(1, int(cs.max()) if len(cs) else 0):  # the customers come in
-        rows = by_size[:np.searchsorted(-cs[by_size], -n, side="left")]  # c > n
-        if n == 1 or n % 8 == 0:
-            first = weight(some)
-        w = first[rows]
-        new = rng.random(len(rows)) * (w + n - d * t[some[rows]]) < w
-        k = t[some[rows]].copy()
-        old = np.flatnonzero(~new)
-        k[old] = join_table(label, size, at[rows[old]], np.full(len(old), n), np.full(len(old), n + 1), d, rng) if n > 1 else 0
-        label[at[rows] + n] = k
-        size[at[rows] + k] += 1
-        t[some[rows[new]]] += 1
+    sections = Sections(c, d, theta)
+    some = np.flatnonzero(c > 1)
+    some = some[np.argsort(room[some], kind="stable")]
+    begin, end = runs(room[some])
+    rank = np.arange(len(some)) - np.repeat(begin, end - begin)
+    turns = [some[rank % TURNS == k] for k in range(TURNS)]
     total, kept = np.zeros(len(c)), 0
     for r in range(rounds):
-        if len(many):
-            t[many] = events(c[many].astype(float), weight(many), d * p[many], d, rng)
-        if len(some):
-            w = weight(some)
-            i = (rng.random(len(some)) * cs).astype(np.int64)
-            k = label[at + i]
-            size[at + k] -= 1  # leaves
-            left = t[some] - (size[at + k] == 0)
-            new = rng.random(len(some)) * (w + cs - 1 - d * left) < w
-            old = np.flatnonzero(~new)
-            k = np.empty(len(some), np.int64)
-            k[old] = join_table(label, size, at[old], i[old], cs[old], d, rng)
-            fresh = np.flatnonzero(new)
-            k[fresh] = free_label(size, at[fresh], cs[fresh], rng)
-            label[at + i] = k
-            size[at + k] += 1
-            t[some] = left + new
+        for rows in turns:
+            if len(rows):
+                all_ = np.bincount(room, t, len(scale)) * scale
+                t[rows] = sections.draw(rows, np.maximum(all_[room[rows]] - t[rows], 0), p[rows], rng)
         if r >= burn_in:
             total, kept = total + t, kept + 1
     return (total / kept if kept else t.astype(float)), t
@@ -242,8 +255,11 @@ def questions(place, counts, held, number, count, n_all: int, parts: int):
     before[np.cumsum(counts) - counts] = n
     seen = np.append(count > 0, True)
     asks = np.flatnonzero(seen[before] & seen[place])
-    key = (before[asks] << 32) | place[asks]
+    # contexts followed by unknown words alone ask with the end, for their own tables
+    lone = np.setdiff1d(before[seen[before]], before[asks])
+    key = np.concatenate(((before[asks] << 32) | place[asks], (lone << 32) | int(place[-1])))
     some, pair = np.unique(key, return_inverse=True)
+    pair = pair[:len(asks)]
     u, w = some >> 32, some & 0xFFFFFFFF
     train = np.bincount(pair, (~np.repeat(held, counts))[asks], len(some)).astype(np.int64)
     nu, nw = np.append(number, 0)[u], number[w]
@@ -262,7 +278,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN) -> Data
     spark = docs.sparkSession
     chunks = common.stored(chunked(docs), "lm-chunks")
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES), common.shuffle_partitions(spark))
+    # by the data alone: numbers and draws are the same whatever the session's settings
+    parts = max(1, -(-size // PART_BYTES))
     reply = "kind string, chunk_id long, part long, data binary, types long, tokens long"
 
     # words: corpus counts and numbers

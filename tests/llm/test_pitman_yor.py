@@ -31,27 +31,62 @@ def test_squeeze():
     assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(a, py.unsqueezed(py.squeezed(a)), strict=True))
 
 
-def test_seating_against_exact_posterior():
-    """Two or three customers of one word: the chain's mean of tables is the exact one."""
-    d, theta, p = 0.6, 1.0, 0.2
-    for c in (2, 3):
-        rows = 4000  # as many restaurants
-        mean, last = py.seat(np.full(rows, c), np.arange(rows), np.full(rows, p), d, theta, np.ones(rows), 3, 40, 10)
-        # weight of a seating: each new table (theta + d t) p, joining size - d
-        if c == 2:
-            w = {1: theta * p * (1 - d), 2: theta * p * (theta + d) * p}
-        else:
-            one, two, three = theta * p, (theta + d) * p, (theta + 2 * d) * p
-            w = {1: one * (1 - d) * (2 - d), 2: 3 * one * two * (1 - d), 3: one * two * three}
-        exact = sum(k * x for k, x in w.items()) / sum(w.values())
-        assert abs(mean.mean() - exact) < 0.05 and set(np.unique(last)) <= set(range(1, c + 1))
-
-
-def test_many_customers_by_events():
-    rng = np.random.default_rng(1)
-    got = py.events(np.full(3000, 500.0), np.full(3000, 2.0), np.zeros(3000), 0.0, rng).mean()
-    exact = sum(2 / (2 + n) for n in range(1, 500)) + 1
-    assert abs(got - exact) < 0.35
+def exact_tables(c, d, theta, p):
+    """Mean tables of c customers of one word alone in a restaurant: by the recursion over customers, in plain floats."""
+    w = {1: theta * p}
+    for n in range(1, c):
+        grown = Counter()
+        for t, x in w.items():
+            grown[t] += x * (n - d * t)
+            grown[t + 1] += x * (theta + d * t) * p
+        top = max(grown.values())
+        w = {t: x / top for t, x in grown.items() if x > top * 1e-18}
+    return sum(t * x for t, x in w.items()) / sum(w.values())
+
+
+@pytest.mark.parametrize("c", [2, 3, 10, 64, 65, 500])
+@pytest.mark.parametrize("p", [0.01, 0.2, 0.9])
+def test_seating_against_exact_posterior(c, p):
+    """At the production rounds, sizes on both sides of every table width."""
+    rows = 4000  # as many restaurants
+    mean, last = py.seat(np.full(rows, c), np.arange(rows), np.full(rows, p), py.D2, py.THETA2, np.ones(rows), 3)
+    exact = exact_tables(c, py.D2, py.THETA2, p)
+    assert abs(mean.mean() - exact) < 0.02 * exact and last.min() >= 1 and last.max() <= c
+
+
+def test_two_words_of_a_restaurant():
+    """Sections that share a restaurant: the joint distribution by enumeration of both numbers of tables."""
+    d, theta, c, p, rows = 0.6, 1.0, (3, 6), (0.4, 0.3), 4000
+    s = {n: np.exp(py.seatings(d, np.array([n]), n))[0] for n in c}
+    joint = np.array([[s[c[0]][a - 1] * s[c[1]][b - 1] * p[0] ** a * p[1] ** b * math.prod(theta + d * j for j in range(a + b))
+                       for b in range(1, c[1] + 1)] for a in range(1, c[0] + 1)])
+    joint /= joint.sum()
+    want = (joint.sum(axis=1) @ np.arange(1, 4), joint.sum(axis=0) @ np.arange(1, 7))
+    mean, _ = py.seat(np.tile(c, rows), np.repeat(np.arange(rows), 2), np.tile(p, rows), d, theta, np.ones(rows), 7)
+    assert np.allclose((mean[::2].mean(), mean[1::2].mean()), want, rtol=0.02)
+
+
+def test_scaled_sections(monkeypatch):
+    """Sections beyond the tabulated customers have nearly the weights of the recursion."""
+    for d in (py.D1, py.D2):
+        exact = py.seatings(d, np.array([3000]), 400)[0]
+        with monkeypatch.context() as m:
+            m.setattr(py, "EXACT", 1500)
+            scaled = py.seatings(d, np.array([3000]), 400)[0]
+        assert np.abs(np.diff(exact) - np.diff(scaled)).max() < 0.01
+
+
+def test_scores_do_not_depend_on_the_session(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted((r.doc_id, r.score) for r in py.score(docs.repartition(int(n))).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [x[0] for x in got[0]] == [x[0] for x in got[1]]
+    assert np.allclose([x[1] for x in got[0]], [x[1] for x in got[1]], rtol=1e-6)
 
 
 def test_query(spark):
