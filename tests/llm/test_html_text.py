@@ -1,5 +1,9 @@
 import html
 import re
+import time
+from collections import Counter
+
+import pytest
 
 from quarry.llm.html_text import extract, labels, main_text, op6_html_extraction
 from tests.conftest import SF_MID
@@ -36,6 +40,57 @@ def test_broken_markup():
     assert main_text(f"<ARTICLE><P>{STORY}<!-- a > b --></P></ARTICLE><FOOTER>x") == STORY.strip()
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<a '", "<!--", "<![CDATA[", "<script>", "<button>", "<svg>", "</p", "<p class= \"", "<"])
+def test_time_is_linear(unit):
+    """Five megabytes of items that never end, with one open quote after them."""
+    page = f"<p>{STORY * 4}</p>" + unit * (5_000_000 // len(unit)) + '"'
+    begin = time.process_time()
+    got = main_text(page)
+    assert got.startswith(STORY.strip()) and time.process_time() - begin < 20
+
+
+def test_open_quotes_lose_no_text():
+    story = (STORY * 3).strip()
+    assert main_text(f"<p class=it's>{STORY * 3}</p><p>{STORY * 3} it's</p>") == f"{story} {story} it's"
+    assert main_text(f"<p class=\"a>{STORY * 3}</p>") == story
+    assert main_text(f"<p title='a > b' class = \"x\">{STORY * 3}</p>") == story
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "canvas", "map", "audio", "video", "math"])
+def test_unclosed_elements_keep_the_article(tag):
+    story = (STORY * 3).strip()
+    assert main_text(f"<article><p>{STORY * 3}</p><{tag}>Press<p>{STORY * 3}</p></article>") == f"{story} {story}"
+    assert main_text(f"<article><p>{STORY * 3}</p><{tag}>Press</{tag}><p>{STORY * 3}</p></article>") == f"{story} {story}"
+
+
+def test_button_closed_by_a_later_one():
+    story = (STORY * 3).strip()
+    page = f"<article><button>One<p>{STORY * 3}</p><button><div>Two</div></button><p>{STORY * 3}</p></article>"
+    assert main_text(page) == f"{story} {story}"
+
+
+def test_short_pages_and_other_languages():
+    assert main_text("<nav><a href=x>Home</a></nav><p>One short line about a small town.</p><footer>Imprint</footer>") == \
+        "One short line about a small town."
+    line = "Сегодня утром жители маленького города собрались на площади и долго говорили о новой дороге. "
+    page = f"<div class=menu><a href=x>Дом</a></div><div>{line * 4}</div><div><a href=y>{line}</a></div><p>{line * 3}</p>"
+    assert main_text(page) == f"{(line * 4).strip()} {(line * 3).strip()}"
+    han = "今天早上小镇的居民聚集在广场上讨论新的道路" * 12
+    assert main_text(f"<nav>菜单</nav><p>{han}</p>") == han
+
+
+def test_pages_without_their_article_element(spark):
+    """The two passes alone find nearly all words of the articles, and hardly any others."""
+    pages = spark.read.parquet(f"{SF_MID}/pages.parquet").collect()
+    found = wanted = extra = 0
+    for p in pages:
+        want = main_text(p.html).split()
+        got = main_text(re.sub(r"</?(article|main)\b[^>]*>", "", p.html)).split()
+        both = sum((Counter(want) & Counter(got)).values())
+        found, wanted, extra = found + both, wanted + len(want), extra + len(got) - both
+    assert found > 0.95 * wanted and extra < 0.05 * wanted
+
+
 def test_query(spark):
     got = {r.page_id: r for r in op6_html_extraction(spark, SF_MID).collect()}
     pages = spark.read.parquet(f"{SF_MID}/pages.parquet").collect()
