@@ -217,3 +217,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError("components did not settle")
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until none is among ``taken`` (columns are equal in any case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out

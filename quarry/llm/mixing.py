@@ -134,18 +134,19 @@ def plan(rows: DataFrame, seed: int, **target) -> DataFrame:
     return common.stored(got, "mix-plan")
 
 
-def mix(docs: DataFrame, seed: int = 0, **target) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, block: str = "_block", at: str = "_place", **target) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` as often as their sources' weights ask, with the
-    columns ``_block`` (number of the permutation) and ``_place`` (order in it)."""
+    columns ``block`` (number of the permutation) and ``at`` (order in it), which replace equally named ones."""
     rows = docs.select("source", "doc_id", n_words(F.col("text")).alias("tokens"))
     p = plan(rows, seed, **target)
-    p = sized_broadcast(p.select(F.col("source").alias("_s"), F.col("blocks").alias("_blocks"), F.col("cut").alias("_cut")), MAX_SOURCES)
-    got = docs.join(p, docs["source"].eqNullSafe(F.col("_s")))
+    own, blocks, cut = common.fresh([*docs.columns, block, at], "_s", "_blocks", "_cut")
+    p = sized_broadcast(p.select(F.col("source").alias(own), F.col("blocks").alias(blocks), F.col("cut").alias(cut)), MAX_SOURCES)
+    got = docs.join(p, docs["source"].eqNullSafe(F.col(own)))
     # rows at or beyond the cut do not fit; no cut: all of them fit, which only a rest of zero-token rows can do
-    partial = F.coalesce(place(F.col("doc_id"), F.col("_blocks"), seed) < F.col("_cut"), F.lit(False))
-    copies = F.col("_blocks") + F.when(partial, 1).otherwise(0)
-    got = got.where(copies > 0).withColumn("_block", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return got.withColumn("_place", place(F.col("doc_id"), F.col("_block"), seed)).drop("_s", "_blocks", "_cut")
+    partial = F.coalesce(place(F.col("doc_id"), F.col(blocks), seed) < F.col(cut), F.lit(False))
+    copies = F.col(blocks) + F.when(partial, 1).otherwise(0)
+    got = got.where(copies > 0).withColumn(block, F.explode(F.sequence(F.lit(0), copies - 1)))
+    return got.withColumn(at, place(F.col("doc_id"), F.col(block), seed)).drop(own, blocks, cut)
 
 
 #: Production target of the query: no source repeats more than this, over a budget of all tokens.

@@ -246,11 +246,12 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each class (the least id; of equal ids the least text), with the
     columns of ``docs``; rows with a null id are kept."""
     from pyspark.sql import Window
-    kept = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    got = own.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
-    first = Window.partitionBy("_id").orderBy("text")
-    got = got.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    kept_id, own_id, number = common.fresh(docs.columns, "_kept", "_id", "_n")
+    kept = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias(kept_id))
+    own = docs.withColumn(own_id, F.col("doc_id").cast("long"))
+    got = own.join(kept, F.col(own_id) == F.col(kept_id), "left_semi")
+    first = Window.partitionBy(own_id).orderBy("text")
+    got = got.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1)
     return got.select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(
         docs.where("doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns]))
 

@@ -205,8 +205,9 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **training) -> DataFrame:
     """The documents scored at or above the threshold, with the columns of ``docs``."""
-    got = scored(docs, fit(docs, labels, **training), out="_score")
-    return got.where(F.col("_score") >= threshold).select(*[f"`{c}`" for c in docs.columns])
+    own, = common.fresh(docs.columns, "_score")
+    got = scored(docs, fit(docs, labels, **training), out=own)
+    return got.where(F.col(own) >= threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
