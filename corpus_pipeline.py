@@ -33,7 +33,8 @@ def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least, rarer sources up to ``MAX_REPEAT`` times as often."""
-    return mixing.mix(docs, max_repeat=MAX_REPEAT, cover=True).select(*[f"`{c}`" for c in docs.columns])
+    block, at = common.fresh(docs.columns, "_block", "_place")
+    return mixing.mix(docs, block=block, at=at, max_repeat=MAX_REPEAT, cover=True).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
