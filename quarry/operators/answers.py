@@ -39,13 +39,20 @@ def page_text(page) -> Column:
     return F.coalesce(page.cast("string"), F.lit(UNKNOWN_PAGE))
 
 
-def format_context(chunks) -> Column:
+def meta_text(meta, key: str, default: str = UNKNOWN_PAGE) -> Column:
+    """P8 on open metadata: the value of ``key`` in a map, ``default`` when the map, the key or the value is missing."""
+    meta = F.col(meta) if isinstance(meta, str) else meta
+    return F.coalesce(F.try_element_at(meta, F.lit(key)), F.lit(default))
+
+
+def format_context(chunks, meta_keys: tuple[str, ...] = ()) -> Column:
     """``[Source i | Page p]\\n<content>`` for each chunk in rank order (i from 1),
-    joined by a blank line."""
+    joined by a blank line. ``meta_keys`` of the chunks' open metadata follow the page (`` | key: value``)."""
     chunks = F.col(chunks) if isinstance(chunks, str) else chunks
     ordered = F.array_sort(chunks, lambda a, b: (a["rank"] - b["rank"]).cast("int"))
     parts = F.transform(ordered, lambda c, i: F.format_string(
-        "[Source %d | Page %s]\n%s", i + 1, page_text(c["page"]), c["content"]))
+        f"[Source %d | Page %s{' | %s: %s' * len(meta_keys)}]\n%s", i + 1, page_text(c["page"]),
+        *[x for k in meta_keys for x in (F.lit(k), meta_text(c["meta"], k))], c["content"]))
     return F.array_join(parts, "\n\n")
 
 

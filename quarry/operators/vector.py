@@ -115,7 +115,10 @@ def model_embed(df: DataFrame, text_col: str, make_model, dim: int, out: str = "
         model = make_model()
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            return np.asarray(model(texts), dtype=np.float64).reshape(len(texts), dim)
+            got = np.asarray(model(texts), dtype=np.float64)
+            if got.shape != (len(texts), dim):
+                raise ValueError(f"the encoder returned {got.shape}, not {(len(texts), dim)}")
+            return got
         return predict
 
     udf = predict_batch_udf(make_predict, return_type=ArrayType(DoubleType()), batch_size=batch_size)

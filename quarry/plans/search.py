@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.broadcast import DEFAULT_MAX_ROWS, dim_broadcast, fits
+from quarry.functions.broadcast import DEFAULT_MAX_ROWS, dim_broadcast, fits, sized_broadcast
 from quarry.functions.text import prefix_key, py_list_literal
 from quarry.operators import bm25, fusion, vector
 
@@ -37,6 +37,7 @@ class Collection:
 
     raw_cached: bool = False   # postings are a filter over cached raw postings
     cached: tuple = ()         # what building it keeps (released by ``release``)
+    metadata: DataFrame | None = None  # domain, page, meta map<string,string>: open page metadata, one row a page
 
     def release(self) -> None:
         """Free what :func:`build_collection` and ``persist`` keep (recomputable)."""
@@ -46,7 +47,7 @@ class Collection:
     def persist(self) -> "Collection":
         lvl = StorageLevel.MEMORY_AND_DISK
         return Collection(self.chunks.persist(lvl), self.vectors.persist(lvl),
-                          self.index.persist(postings=not self.raw_cached), self.raw_cached, self.cached)
+                          self.index.persist(postings=not self.raw_cached), self.raw_cached, self.cached, self.metadata)
 
 
 def build_collection(chunks: DataFrame, dim: int = vector.DIM, embed=None, persist: bool = True) -> Collection:
@@ -115,9 +116,20 @@ def hybrid_search(questions: DataFrame, coll: Collection, n: int = fusion.N_RESU
     bm_hits = bm25_arm(questions, coll, k, min_score)
     fused = fuse(questions, coll, vec_hits, bm_hits, n, small, rank_base, key)
     payload = coll.chunks.select("domain", "chunk_pos", "page", "content")
-    return (fused.join(payload, ["domain", "chunk_pos"]) if not small
+    hits = (fused.join(payload, ["domain", "chunk_pos"]) if not small
             else payload.join(F.broadcast(fused), ["domain", "chunk_pos"])).select(
         "question_id", "domain", "rank", "chunk_pos", "page", "content", "score", "distance")
+    return hits if coll.metadata is None else with_metadata(hits, coll.metadata)
+
+
+def with_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Attach the open metadata of the hits' pages as ``meta``; a page without any has an empty map.
+    Pages are many and their maps wide, so only those of hits are kept before the join: pages hold their
+    metadata once, not with every chunk."""
+    asked = sized_broadcast(hits.select("domain", "page").distinct())
+    own = metadata.select("domain", "page", "meta").join(asked, ["domain", "page"], "left_semi")
+    none = F.create_map().cast("map<string,string>")
+    return hits.join(own, ["domain", "page"], "left").withColumn("meta", F.coalesce("meta", none)).select(*hits.columns, "meta")
 
 
 def validate(requests: DataFrame, cat: DataFrame) -> DataFrame:
@@ -146,7 +158,8 @@ def gate(top_distance, threshold: float = CONFIDENCE_THRESHOLD):
     return confident, reason
 
 
-HIT_STRUCT = "array<struct<rank:int,chunk_pos:bigint,page:bigint,content:string,score:double,distance:double>>"
+HIT_FIELDS = ["rank", "chunk_pos", "page", "content", "score", "distance"]
+HIT_TYPE = "rank:int,chunk_pos:bigint,page:bigint,content:string,score:double,distance:double"
 
 
 def retrieve(requests: DataFrame, coll: Collection, cat: DataFrame,
@@ -158,14 +171,17 @@ def retrieve(requests: DataFrame, coll: Collection, cat: DataFrame,
     No hits -> not confident, 'No results found.'. Top (fused first) hit distance
     strictly above ``threshold`` -> not confident, chunks still returned. Else confident.
     ``search_options`` (k, metric, rank_base, key, min_score) go to :func:`hybrid_search`.
+    Chunks carry ``meta`` if the collection has metadata.
     """
     v = validate(requests, cat)
     valid = v.where("valid").select("question_id", "domain", "question")
     if hits is None:
         hits = hybrid_search(valid, coll, n, embed=embed, **search_options)
+    meta = "meta" in hits.columns
+    # ranks are unique; maps have no order
+    by_rank = lambda a, b: a["rank"] - b["rank"]
     per_q = (hits.groupBy("question_id", "domain")
-                 .agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_pos", "page", "content", "score",
-                                                           "distance"))).alias("chunks"),
+                 .agg(F.array_sort(F.collect_list(F.struct(*HIT_FIELDS, *(["meta"] if meta else []))), by_rank).alias("chunks"),
                       F.min_by("distance", "rank").alias("top_distance")))
     out = v.join(per_q, ["question_id", "domain"], "left")
     conf, reason = gate(F.col("top_distance"), threshold)
@@ -174,5 +190,5 @@ def retrieve(requests: DataFrame, coll: Collection, cat: DataFrame,
         F.when(F.col("valid"), conf).otherwise(F.lit(False)).alias("confident"),
         F.when(F.col("valid"), reason).otherwise(F.col("reason")).alias("reason"),
         F.when(F.col("valid") & F.col("chunks").isNotNull(), F.col("chunks"))
-         .otherwise(F.array().cast(HIT_STRUCT)).alias("chunks"),
+         .otherwise(F.array().cast(f"array<struct<{HIT_TYPE}{',meta:map<string,string>' if meta else ''}>>")).alias("chunks"),
         "top_distance")

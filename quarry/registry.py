@@ -267,6 +267,57 @@ def q_retrieve(spark, sf_dir):
                     "top_distance")
 
 
+@register("retrieve_metadata", f"""WITH {RETRIEVE_CTE}
+SELECT h.question_id, h.domain, CAST(h.rank AS INTEGER) AS rank, h.chunk_pos, coalesce(d.source, 'unknown') AS source,
+       coalesce(CAST(d.n_chars AS VARCHAR), 'unknown') AS n_chars, 'none' AS license
+FROM hybrid h JOIN pages p ON p.domain = h.domain AND p.page = h.chunk_pos JOIN documents d ON d.doc_id = p.doc_id""")
+def q_retrieve_metadata(spark, sf_dir):
+    """Open page metadata on every retrieved chunk, with a default for a key that no page has."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from quarry.operators.answers import meta_text
+    from quarry.sources.corpus import load_pages
+    t = SourceTables(spark, sf_dir)
+    pages = load_pages(t.table("documents"), "lang", "lang", "doc_id", "text", ("source", "n_chars"))
+    r = search.retrieve(t.questions(), replace(t.collection(), metadata=pages.select("domain", "page", "meta")), t.catalog())
+    hits = r.select("question_id", "domain", F.explode("chunks").alias("c"))
+    return hits.select("question_id", "domain", F.col("c.rank").alias("rank"), F.col("c.chunk_pos").alias("chunk_pos"),
+                       meta_text("c.meta", "source").alias("source"), meta_text("c.meta", "n_chars").alias("n_chars"),
+                       meta_text("c.meta", "license", "none").alias("license"))
+
+
+# A small linear encoder: counts of these letters, times the matrix ((5 i + 3 j) % 7) - 3, over the text's length + 1.
+PROJECTED_LETTERS = "etaoinshr"
+PROJECTED_DIM = 4
+
+
+def _letter_model():
+    """Encoder for :func:`quarry.operators.vector.model_embed`: made once per Python worker."""
+    import numpy as np
+    matrix = (5 * np.arange(len(PROJECTED_LETTERS))[:, None] + 3 * np.arange(PROJECTED_DIM)) % 7 - 3
+
+    def model(texts):
+        counts = np.array([[x.count(c) for c in PROJECTED_LETTERS] for x in texts], np.int64).reshape(len(texts), -1)
+        return (counts @ matrix) / (np.array([len(x) for x in texts], np.int64)[:, None] + 1)
+    return model
+
+
+_PROJECTED_SQL = ", ".join("round((" + " + ".join(
+    f"({(5 * i + 3 * j) % 7 - 3}) * (length(content) - length(replace(content, '{c}', '')))" for i, c in enumerate(PROJECTED_LETTERS))
+    + f")::DOUBLE / (length(content) + 1), 9) AS v{j}" for j in range(PROJECTED_DIM))
+
+
+@register("model_embed", f"WITH {PAGES_CTE} SELECT domain, chunk_pos, {_PROJECTED_SQL} FROM corpus WHERE content IS NOT NULL")
+def q_model_embed(spark, sf_dir):
+    """Every chunk through a user-supplied encoder."""
+    from pyspark.sql import functions as F
+    corpus = SourceTables(spark, sf_dir).corpus().where("content is not null")
+    v = vector.model_embed(corpus, "content", _letter_model, PROJECTED_DIM)
+    return v.select("domain", "chunk_pos", *[F.round(F.get("embedding", j), 9).alias(f"v{j}") for j in range(PROJECTED_DIM)])
+
+
 # The remaining groups register themselves on import.
 from quarry import registry_conv  # noqa: E402,F401
 from quarry import registry_ingest  # noqa: E402,F401

@@ -11,7 +11,7 @@ from quarry.operators import answers, reports, sessions
 from quarry.plans import search
 from quarry.registry import PAGES_CTE, RETRIEVE_CTE, register
 from quarry.session import shared_dir
-from quarry.sources import querylog
+from quarry.sources import log_batches, querylog
 from quarry.sources.testdata import RESET_EVENT, SourceTables
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -93,6 +93,21 @@ def q_log_roundtrip(spark, sf_dir):
                        "log_date")
 
 
+@register("log_batches", f"""WITH {EVENTS_CTE}
+SELECT {TS_SQL.format(c='ts')} AS timestamp, session_id, domain, question, answer, confident,
+       strftime(ts, '%Y-%m-%d') AS log_date, CASE WHEN confident THEN '01' ELSE 'refused' END AS batch
+FROM turns""")
+def q_log_batches(spark, sf_dir):
+    """S5 by repeatable batches: one is run twice, one again after a run that died before its commit."""
+    root, log = shared_dir(spark, "log-batches"), SourceTables(spark, sf_dir).query_log()
+    for _ in range(2):
+        log_batches.append_batch(log.where("confident"), root, "01")
+    log_batches.write_records(log, root, "refused")  # never committed: replaced by the next
+    log_batches.append_batch(log.where("not confident"), root, "refused")
+    return log_batches.read_batches(spark, root).select(_ts().alias("timestamp"), "session_id", "domain", "question", "answer",
+                                                        "confident", "log_date", "batch")
+
+
 @register("message_counts", """
 SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS message_count FROM conversations GROUP BY conv_id""")
 def q_message_counts(spark, sf_dir):

@@ -17,16 +17,19 @@ from quarry.functions.text import prefix_key
 PAGES_SCHEMA = "domain string, file string, page long, text string"
 
 
-def load_pages(docs: DataFrame, domain_col: str, file_col: str, order_col: str, text_col: str) -> DataFrame:
+def load_pages(docs: DataFrame, domain_col: str, file_col: str, order_col: str, text_col: str,
+               meta_cols: tuple[str, ...] = ()) -> DataFrame:
     """A table of source rows becomes pages: ``page`` is the 0-based position of the row
     in its file, ordered by ``order_col``. The text moves once, into ranges of (domain, file, order), and is kept
-    there (:func:`quarry.functions.ranges.ranged`): rows come in order and chunks can be cut and numbered in place."""
+    there (:func:`quarry.functions.ranges.ranged`): rows come in order and chunks can be cut and numbered in place. ``meta_cols`` become the page's open metadata
+    (``meta``, a map from their names to their values as text)."""
+    meta = [F.create_map(*[x for c in meta_cols for x in (F.lit(c), F.col(c).cast("string"))]).alias("meta")] if meta_cols else []
     base = docs.select(F.col(domain_col).alias("domain"), F.col(file_col).alias("file"),
-                       F.col(order_col).alias("_order"), F.col(text_col).alias("text"))
+                       F.col(order_col).alias("_order"), F.col(text_col).alias("text"), *meta)
     placed = ranges.ranged(base, ["domain", "file", "_order"])
     # files are catalog entries: at most ranges + files bases
     pos = ranges.positions(placed, ["domain", "file"], "page", small=True)
-    return pos.select("domain", "file", "page", "_order", "text")
+    return pos.select("domain", "file", "page", "_order", "text", *(["meta"] if meta_cols else []))
 
 
 def available_domains(cat: DataFrame, pages: DataFrame) -> DataFrame:
