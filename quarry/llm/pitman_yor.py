@@ -55,7 +55,7 @@ PART_BYTES = 8 << 20
 D2, THETA2, D1, THETA1 = 0.75, 1.0, 0.65, 10.0
 ROUNDS, BURN_IN = 8, 3
 #: Sections of more customers take their weights from this many by scaling.
-EXACT = 1 << 14
+EXACT = 1 << 12
 #: Columns of the first try, cells of one block, and the logarithm of a weight that ends a section's columns.
 NARROW, CELLS, NEGLIGIBLE = 64, 1 << 19, 35.0
 #: The words of a restaurant are drawn in so many turns a round.
@@ -74,7 +74,7 @@ def seatings(d: float, wanted: np.ndarray, width: int) -> np.ndarray:
     """Logarithm of the summed weights of all ways to seat n customers of one word at t tables, but for the new tables'
     own weights: row per n of ``wanted`` (ascending), column t - 1, -inf beyond n. With S(n, t) = S(n-1, t-1) +
     (n - 1 - d t) S(n-1, t). Beyond ``EXACT`` customers, t tables of n are as likely as t (EXACT / n)^d of EXACT: the
-    sum of t independent table sizes has this scaling limit, off by some EXACT^-d (under 0.1 %)."""
+    sum of t independent table sizes has this scaling limit, off by some EXACT^-d (under 0.5 %)."""
     out = np.full((len(wanted), width), -np.inf)
     exact = wanted[wanted <= EXACT]
     over = wanted[wanted > EXACT]
@@ -108,17 +108,16 @@ def seatings(d: float, wanted: np.ndarray, width: int) -> np.ndarray:
 
 class Sections:
     """Draws the number of tables of many (restaurant, word) sections at once, given the tables of
-    the other words. Section weights are tabulated once per width."""
+    the other words. Section weights are tabulated once per width for all rounds."""
 
     def __init__(self, c: np.ndarray, d: float, theta: float):
         self.c, self.d, self.theta, self.tables = c, d, theta, {}
 
     def weights(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         if width not in self.tables:
-            # a section is first tried with the power of two at its customers, or NARROW columns
-            wanted = np.unique(self.c[self.c > (width // 2 if width <= NARROW else NARROW)])
+            # sections of up to half as many customers were whole in a narrower table
+            wanted = np.unique(self.c[self.c > width // 2])
             wanted = wanted[wanted <= width] if width < NARROW else wanted
-            self.tables = {w: x for w, x in self.tables.items() if w <= NARROW}
             self.tables[width] = wanted, seatings(self.d, wanted, width)
         return self.tables[width]
 
