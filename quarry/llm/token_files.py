@@ -6,6 +6,10 @@ A data set is a folder of shards in ascending order of their documents' ids. Sha
 * ``k.idx``  little-endian signed 64-bit: one offset per document (in ids, from the shard's
   begin) and the end, then the documents' ids (a null id as the least 64-bit integer).
 
+Documents are dealt into ranges of (id, first 256 characters, text hash, place read), so that one id or one text of any
+number of rows is cut like any other, and a range is one shard. No list of cut points is looked up, and a task streams its
+range: it holds one slice of text and 16 bytes a document.
+
 A shard's base, its first document's place in the whole, is the prefix sum of the token counts of the shards
 before it; only one (shard, documents, tokens) row a shard passes through the driver.
 A shard is written under a name of its own attempt and renamed, so that a repeated or
@@ -13,12 +17,13 @@ speculative task leaves the same file. The folder is in the shared folder of the
 system path; only token ids are read through memory maps, one shard a task.
 
 Edge cases: a null text is empty and has the end id alone; a null id sorts first; repeated
-rows and ids are all written, ordered by text; an empty table makes no shard and no rows; other
+rows and ids are all written, ordered by the text's first 256 characters, then its hash; an empty table makes no shard and no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 import zlib
@@ -26,15 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.tokens import UnitEncoder, tokenizer_path
+from quarry.llm.tokens import encoder, tokenizer_path
 from quarry.session import shared_dir
 
-#: Text bytes of one shard.
+#: Text bytes of one shard, on average; larger if there would be more than ``MOST_SHARDS``.
 SHARD_BYTES = 16 << 20
+MOST_SHARDS = 50_000
 _NO_ID = -(1 << 63)
 MANIFEST = "shard int, n_docs long, n_tokens long"
 
@@ -50,20 +57,25 @@ def shard_files(folder: str, shard: int) -> tuple[str, str]:
     return f"{folder}/{shard:06d}.bin", f"{folder}/{shard:06d}.idx"
 
 
-def write_shard(folder: str, shard: int, docs: list[int | None], parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> int:
-    """Write one shard from (ids end to end, ids of each document) parts; returns its number of ids."""
-    counts = np.concatenate([n for _, n in parts])
+def write_shard(folder: str, shard: int, parts: Iterator[tuple[list[int | None], np.ndarray, np.ndarray]],
+                width: int) -> tuple[int, int]:
+    """Write one shard from parts (documents' ids, token ids end to end, token ids of each document) as they come;
+    returns its numbers of documents and of token ids."""
     os.makedirs(folder, exist_ok=True)
-    for path, arrays in zip(shard_files(folder, shard), (
-            (ids.astype(f"<u{width}") for ids, _ in parts),
-            (np.concatenate(([0], np.cumsum(counts))).astype("<i8"),
-             np.array([_NO_ID if d is None else d for d in docs], "<i8"))), strict=True):
-        own = f"{path}.{uuid.uuid4().hex}"
-        with open(own, "wb") as f:
-            for p in arrays:
-                f.write(p.tobytes())
-        os.replace(own, path)
-    return int(counts.sum())
+    flat, index = shard_files(folder, shard)
+    own, docs, counts = uuid.uuid4().hex, [np.zeros(0, "<i8")], [np.zeros(0, np.int64)]
+    with open(f"{flat}.{own}", "wb") as f:
+        for doc, ids, n in parts:
+            f.write(ids.astype(f"<u{width}").tobytes())
+            docs.append(np.array([_NO_ID if d is None else d for d in doc], "<i8"))
+            counts.append(n)
+    ends = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype("<i8")
+    with open(f"{index}.{own}", "wb") as f:
+        f.write(ends.tobytes())
+        f.write(np.concatenate(docs).tobytes())
+    for path in (flat, index):
+        os.replace(f"{path}.{own}", path)
+    return len(ends) - 1, int(ends[-1])
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, width: int = 2,
@@ -72,26 +84,32 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, width: in
     tokens, base), a row a shard."""
     folder = local_path(folder)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    key = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
-    bounds = common.range_bounds(docs.select("doc_id"), key, max(1, -(-total // shard_bytes)))
+    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
+    order = ["doc_id", "head", "digest", "place"]
+    dealt = (docs.withColumns({"head": F.substring("text", 1, 256), "digest": F.xxhash64("text"),
+                               "place": F.monotonically_increasing_id()})
+             .repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text"))
     kinds = pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
-    def run(t: pa.Table) -> pa.Table:
-        doc, text = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
-        shard = t.column("shard")[0].as_py()
-        at = sorted(range(len(doc)), key=lambda i: (_NO_ID if doc[i] is None else doc[i], text[i]))
-        enc, parts = UnitEncoder(path), []
-        batch = pa.RecordBatch.from_arrays([pa.array([text[i] for i in at], pa.large_string())], ["text"])
-        for b in common.slices(batch, limit=2 << 20):
-            flat, off = enc.ids(b.column("text"))
-            parts.append((np.insert(flat, off[1:], end_id), np.diff(off) + 1))
-        n = write_shard(folder, shard, [doc[i] for i in at], parts, width)
-        return pa.table([[shard], [len(at)], [n]], schema=kinds)
-
-    got = docs.withColumn("shard", common.part_of(key, bounds)).groupBy("shard").applyInArrow(run, MANIFEST).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+
+        def encoded(first: pa.RecordBatch) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+            for big in itertools.chain([first], batches):
+                for b in common.slices(big, limit=2 << 20):
+                    flat, off = enc.ids(b.column("text"))
+                    yield b.column("doc_id").to_pylist(), np.insert(flat, off[1:], end_id), np.diff(off) + 1
+
+        first = next((b for b in batches if b.num_rows), None)
+        if first is not None:
+            shard = TaskContext.get().partitionId()
+            n_docs, n_tokens = write_shard(folder, shard, encoded(first), width)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(
+                ([shard], [n_docs], [n_tokens]), kinds.types, strict=True)], schema=kinds)
+
     out, base = [], 0
-    for r in sorted(got):
+    for r in sorted(dealt.mapInArrow(run, MANIFEST).collect()):
         out.append((r["shard"], r["n_docs"], r["n_tokens"], base))
         base += r["n_tokens"]
     return out

@@ -80,3 +80,9 @@ def test_edge_cases(spark):
     assert got.length.max() == 64 and all(len(r.ids) == r.length for r in got.itertuples())
     assert (got.groupby("sequence_id").length.sum() <= 64).all()
     assert packing.pack_documents(docs.limit(0), PATH, 64).count() == 0
+
+
+def test_equal_rows_use_every_shard(spark):
+    pieces = spark.range(0, 2000, 1, 4).selectExpr("7L AS doc_id", "100L AS length")
+    got = packing.pack(pieces, 1024, shards=8).collect()
+    assert len(got) == 2000 and len({r.sequence_id >> 32 for r in got}) == 8
