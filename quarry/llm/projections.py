@@ -7,7 +7,8 @@ cosine c lies within it with known probability. Two vectors collide on a project
 keep, inside the window; pairs with at least ``hits`` collisions are verified by cosine in
 double precision. ``hits`` is calibrated: the largest count which keeps the recall of pairs at
 exactly the threshold at ``recall`` or more, measured on random pairs of that cosine under
-the same projections (fixed seed). The number of projections grows with the number of
+the same projections (fixed seed). Where even one collision does not reach it (few dimensions), vectors keep twice as many
+projections until it does. The number of projections grows with the number of
 vectors, so that a sorted line keeps about ``LINE`` vectors.
 
 Each vector carries the list of its lines, so a task that holds a line counts a pair's
@@ -16,9 +17,10 @@ and no pair is shuffled. A line of any length is dealt to cells of ``CELL`` vect
 Equal vectors are one class beforehand; their links are counted by multiplicity. A task
 reports its vectors' link counts and, instead of all links, a spanning forest of them.
 
-Edge cases: null, zero and non-finite vectors, and vectors of another length than the most
-common one, link with nothing; a null id is dropped; rows of one id are one vector (the least); an empty table gives no rows;
-other columns are ignored.
+Vectors of each length are compared among themselves, one pass for each length that two different vectors have.
+
+Edge cases: null, zero and non-finite vectors link with nothing, vectors of different lengths not with each other; a null
+id is dropped; rows of one id are one vector (the least); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from quarry.llm import common
 THRESHOLD, RECALL = 0.95, 0.995
 KEEP, LINE, CELL = 12, 48, 512
 LEAST_PROJECTIONS, MOST_PROJECTIONS = 256, 1 << 15
+LINKS = "id long, other long, links long"
 
 
 def directions(dims: int, count: int, seed: int = 11) -> np.ndarray:
@@ -69,9 +72,11 @@ def collisions(l1, y1, l2, y2, window: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def calibrate(d: np.ndarray, threshold: float, keep: int, recall: float, pairs: int = 20_000, seed: int = 5) -> tuple[int, float]:
-    """(largest collision count of at least the wanted recall, the recall it has) on random
-    pairs whose cosine is exactly the threshold."""
+    """(largest collision count of at least the wanted recall, or one, and the recall it has) on random
+    pairs whose cosine is exactly the threshold; in one dimension, which has no such pairs, one collision."""
     rng, dims = np.random.default_rng(seed), d.shape[1]
+    if dims == 1:
+        return 1, 1.0
     counts = []
     for _ in range(0, pairs, 250):
         a, b = rng.standard_normal((2, 250, dims))
@@ -79,7 +84,11 @@ def calibrate(d: np.ndarray, threshold: float, keep: int, recall: float, pairs:
         b -= (a * b).sum(axis=1, keepdims=True) * a
         b /= np.linalg.norm(b, axis=1, keepdims=True)
         b = threshold * a + np.sqrt(1 - threshold ** 2) * b
-        counts.append(collisions(*outermost(a, d, keep), *outermost(b, d, keep), half_width(threshold))[0])
+        on = np.full((2, 250, 2 * len(d)), np.nan, np.float32)  # places by signed line
+        for row, x in zip(on, (a, b), strict=True):
+            line, y = outermost(x, d, keep)
+            np.put_along_axis(row, line.astype(np.int64), y, axis=1)
+        counts.append((np.abs(on[0] - on[1]) <= half_width(threshold)).sum(axis=1))
     counts = np.concatenate(counts)
     hits = 1
     while (counts >= hits + 1).mean() >= recall:
@@ -95,18 +104,24 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             .groupBy("id").agg(F.min("v").alias("v")))
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD,
-                 keep: int = KEEP, recall: float = RECALL) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vector."""
-    all_ = common.stored(usable(vectors, id_col, vec_col), "vectors")
-    dims = all_.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = dims["n"] if dims else 1
-    classes = (all_.where((F.col("v").isNotNull()) & (F.size("v") == dims)).groupBy("v")
-               .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    classes = common.stored(classes, "vector-classes")
-    n = classes.count()
+def settings_for(n: int, dims: int, threshold: float, keep: int, recall: float) -> tuple[int, int, int]:
+    """(projections, projections kept by a vector, collisions asked for) for ``n`` vectors; the recall at the threshold is reached."""
     m = int(np.clip(2 ** np.ceil(np.log2(max(1, n * keep / (2 * LINE)))), LEAST_PROJECTIONS, MOST_PROJECTIONS))
-    hits, _ = calibrate(directions(dims, m), threshold, keep, recall)
+    d = directions(dims, m)
+    while True:
+        keep = min(keep, m)
+        hits, got = calibrate(d, threshold, keep, recall)
+        if got >= recall:
+            return m, keep, hits
+        if keep == m:
+            raise ValueError(f"{m} projections of {dims} dimensions reach a recall of {got} only")
+        keep *= 2
+
+
+def links_of_length(classes: DataFrame, dims: int, n: int, threshold: float, keep: int, recall: float) -> DataFrame:
+    """id, other, links of the ``n`` classes (rep, copies, v) whose vectors have ``dims`` components: link counts and a
+    spanning forest."""
+    m, keep, hits = settings_for(n, dims, threshold, keep, recall)
     width = half_width(threshold)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +189,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         head = np.array([rep[find(i)] for i in own.tolist()], np.int64)
         return pa.table([rep[own], head, links[own]], schema=kinds)
 
-    found = common.stored(met.groupBy("line", "p", "q").applyInArrow(link, "id long, other long, links long"), "vector-links")
+    found = common.stored(met.groupBy("line", "p", "q").applyInArrow(link, LINKS), "vector-links")
+    common.discard(placed)
+    return found
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD,
+                 keep: int = KEEP, recall: float = RECALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every vector."""
+    all_ = common.stored(usable(vectors, id_col, vec_col), "vectors")
+    classes = (all_.where("v is not null").groupBy("v")
+               .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dims", F.size("v")))
+    classes = common.stored(classes, "vector-classes")
+    lengths = sorted(classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect())
+    found = all_.sparkSession.createDataFrame([], LINKS)
+    for dims, n in lengths:
+        one = links_of_length(classes.where(F.col("dims") == dims).drop("dims"), dims, n, threshold, keep, recall)
+        found = one if len(lengths) == 1 else found.unionAll(one)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = common.components(found.where("id != other"), "id", "other")
     reps = (classes.select("v", "rep", "copies").join(links, F.col("rep") == F.col("id"), "left").drop("id")

@@ -56,3 +56,22 @@ def test_edge_cases(spark):
     assert got[6] == (2, 6, True) and got[7] == (2, 6, False) and got[12] == (2, 6, False)
     assert all(got[i] == (0, i, True) for i in (1, 2, 3, 4, 5, 8, 9, 10, 11)) and len(got) == 12
     assert pj.near_vectors(df.limit(0)).count() == 0
+
+
+def test_few_dimensions_and_mixed_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for dims, start, n in ((1, 0, 6), (2, 100, 130), (3, 1000, 200), (16, 2000, 150)):
+        own = [(start + i, rng.standard_normal(dims).tolist()) for i in range(n)]
+        own += [(start + n + i, own[0][1]) for i in range(5)]  # equal vectors
+        own += [(start + n + 5 + i, (np.array(own[1][1]) * (1 + 0.02 * rng.standard_normal(dims))).tolist()) for i in range(20)]
+        rows += own
+        want |= brute(own)
+    got = pj.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def test_projections_kept_until_the_recall_is_reached():
+    m, keep, hits = pj.settings_for(1000, 2, 0.95, pj.KEEP, 0.995)
+    assert keep > pj.KEEP and hits >= 1 and pj.calibrate(pj.directions(2, m), 0.95, keep, 0.995)[1] >= 0.995
+    assert pj.settings_for(5_000, 64, 0.95, pj.KEEP, 0.995)[1] == pj.KEEP
