@@ -44,6 +44,10 @@ BANDS, ROWS = 64, 8
 CELL = 1024
 #: Standard deviations of the register estimate below the threshold that are still verified (a pair at it is lost with 0.000001).
 MARGIN = 5.0
+#: Arrivals that a shingle throws at once, and all shingles of a slice together, at most (one each at least).
+AHEAD, ARRIVALS = 64, 1 << 16
+#: Text bytes and rows of a slice that is signed at once: its hashes take about 50 times the bytes in a worker.
+SIGN_BYTES, SIGN_ROWS = 1 << 20, 2048
 _NONE = np.uint64(0)
 
 
@@ -72,17 +76,24 @@ def signatures(own: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size:
     now = np.zeros(len(h))
     live, arrival = np.arange(len(h)), 0
     while len(live):
-        now[live] += exponential(h[live], arrival) / weight[live]
-        latest = time.reshape(n, size).max(axis=1)
-        live = live[now[live] < latest[own[live]]]  # early termination
-        if not len(live):
-            break
-        reg = own[live] * size + (common.mix64(h[live] + np.uint64((arrival + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1))
-                                  % np.uint64(size)).astype(np.int64)
-        np.minimum.at(time, reg, now[live])
-        won = time[reg] == now[live]
-        win[reg[won]] = h[live[won]]
-        arrival += 1
+        # few shingles are left when short texts fill their registers: each throws several arrivals at once
+        ahead = max(1, min(AHEAD, ARRIVALS // len(live)))
+        gaps = np.stack([exponential(h[live], arrival + a) / weight[live] for a in range(ahead)], 1)
+        gaps[:, 0] += now[live]
+        at = np.cumsum(gaps, axis=1)
+        reg = np.stack([common.mix64(h[live] + np.uint64((arrival + a + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1))
+                        % np.uint64(size) for a in range(ahead)], 1).astype(np.int64) + own[live, None] * size
+        soon = at < time[reg]
+        reg, when, who = reg[soon], at[soon], np.broadcast_to(live[:, None], at.shape)[soon]
+        np.minimum.at(time, reg, when)
+        won = time[reg] == when
+        win[reg[won]] = h[who[won]]
+        now[live] = at[:, -1]
+        arrival += ahead
+        # early termination, by the latest register of the texts that still throw
+        edge = np.flatnonzero(np.append(True, own[live[1:]] != own[live[:-1]]))
+        latest = time.reshape(n, size)[own[live[edge]]].max(axis=1)
+        live = live[now[live] < np.repeat(latest, np.diff(np.append(edge, len(live))))]
     return (win >> np.uint64(48)).astype(np.uint16).reshape(n, size)
 
 
@@ -107,6 +118,25 @@ def similarity(h1, w1, h2, w2) -> float:
     return float((1.0 / (above / x[d] + below / y[d])).sum())
 
 
+def sign(big: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """(id, copy, sig) of a batch (id, text), a slice at a time."""
+    for b in common.slices(big, limit=SIGN_BYTES, rows=SIGN_ROWS):
+        words, counts = common.words(*common.text_buffer(b.column("text")))
+        at = np.cumsum(counts) - counts
+        own = common.owners(counts)
+        place = np.arange(len(words)) - np.repeat(at, counts)
+        parts = [np.add.reduceat(np.append(common.mix64(words ^ common.mix64(place.astype(np.uint64) + np.uint64(s))),
+                                           np.uint64(0)), at) if len(at) else at for s in (1, 1 << 32)]
+        h, n = common.shingles(words, counts)
+        sig = signatures(*weighted(h, n), b.num_rows, size)
+        none = counts == 0
+        copy = [None if z else x.tobytes() for z, x in zip(none, np.stack(parts, 1), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), pa.array(copy, pa.binary()),
+             pa.array([None if z else x.tobytes() for z, x in zip(none, sig, strict=True)], pa.binary())],
+            ["id", "copy", "sig"])
+
+
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, copy (hash of the word sequence), signature of ``docs(doc_id, text)``; the
     signature is null for a text without words."""
@@ -114,21 +144,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in common.slices(big, rows=4096):
-                words, counts = common.words(*common.text_buffer(b.column("text")))
-                at = np.cumsum(counts) - counts
-                own = common.owners(counts)
-                place = np.arange(len(words)) - np.repeat(at, counts)
-                parts = [np.add.reduceat(np.append(common.mix64(words ^ common.mix64(place.astype(np.uint64) + np.uint64(s))),
-                                                   np.uint64(0)), at) if len(at) else at for s in (1, 1 << 32)]
-                h, n = common.shingles(words, counts)
-                sig = signatures(*weighted(h, n), b.num_rows, size)
-                none = counts == 0
-                copy = [None if z else x.tobytes() for z, x in zip(none, np.stack(parts, 1), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(copy, pa.binary()),
-                     pa.array([None if z else x.tobytes() for z, x in zip(none, sig, strict=True)], pa.binary())],
-                    ["id", "copy", "sig"])
+            yield from sign(big, size)
 
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"),
                                                    F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

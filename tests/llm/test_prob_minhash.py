@@ -113,3 +113,35 @@ def test_edge_cases(spark, n):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == ([1, 2, 3, 4, 6] if n else [])
     assert kept.where("doc_id is null").count() == n
+
+
+def test_signing_holds_slices_and_short_texts_take_few_rounds(monkeypatch):
+    """A worker held some 50 times 4 MB at once, and every round looked at the registers of all texts of a slice."""
+    import tracemalloc
+
+    rounds = []
+    least = np.minimum.at
+
+    class Counted:
+        at = staticmethod(lambda *a: (rounds.append(1), least(*a)))
+    words = [f"w{i % 977}x{i}" for i in range(60_000)]
+    texts = [" ".join(words[i:i + 200]) for i in range(0, 60_000, 25)] + ["one two three"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    monkeypatch.setattr(pm.np, "minimum", Counted)
+    tracemalloc.start()
+    got = list(pm.sign(batch, 512))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == len(texts)
+    assert peak < 96 << 20, peak
+    assert len(rounds) < 150 * len(got), (len(rounds), len(got))
+
+
+def test_arrivals_thrown_ahead_leave_the_registers_as_they_are(monkeypatch):
+    h = common.mix64(np.arange(1, 400, dtype=np.uint64))
+    counts = np.array([1, 2, 3, 40, 0, 353])
+    sets = pm.weighted(h, counts)
+    many = pm.signatures(*sets, len(counts), 512)
+    monkeypatch.setattr(pm, "AHEAD", 1)
+    assert (many == pm.signatures(*sets, len(counts), 512)).all()
+    assert (many[0] == many[0, 0]).all() and not many[4].any()
