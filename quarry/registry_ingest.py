@@ -207,9 +207,10 @@ def q_vector_topk_ivf(spark, sf_dir):
     ivf.build(corpus, root)
     hits = ivf.search(qs, root, 10, exclude_self=True)
     true = vector.vector_topk(qs, corpus, 10, exclude_self=True).select("question_id", "chunk_pos", F.lit(1).alias("_true"))
-    a = corpus.select(F.col("chunk_pos").alias("question_id"), F.col("domain").alias("_d"), F.col("vec").alias("_a"))
-    b = corpus.select("chunk_pos", F.col("domain").alias("_e"), F.col("vec").alias("_b"))
-    j = hits.join(a, "question_id").join(b, "chunk_pos").join(true, ["question_id", "chunk_pos"], "left")
+    # the pairs are matched first, as keys; vectors go along as they are stored, one of them once a hit, and no further than their distance
+    a = v.select(F.col("chunk_pos").alias("question_id"), F.col("domain").alias("_d"), F.col("embedding").alias("_a"))
+    b = v.select("chunk_pos", F.col("domain").alias("_e"), F.col("embedding").alias("_b"))
+    j = hits.join(true, ["question_id", "chunk_pos"], "left").join(a, "question_id").join(b, "chunk_pos")
     per = j.groupBy("question_id").agg(
         (F.count(F.lit(1)) <= 10).alias("at_most_k"), F.bool_and((F.col("_d") == F.col("_e")) & (F.col("domain") == F.col("_d"))).alias("own_domain"),
         F.bool_and(F.abs(vector.sq_l2("_a", "_b") - F.col("distance")) < 1e-5).alias("exact"), F.sum("_true").alias("_found"))
