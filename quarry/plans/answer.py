@@ -7,9 +7,9 @@ so it is persisted once instead of running the search twice.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from quarry.functions.ranges import kept
 from quarry.operators import answers
 from quarry.plans.search import Collection, retrieve
 
@@ -18,7 +18,7 @@ def answer_batch(requests: DataFrame, coll: Collection, cat: DataFrame, answer_u
                  history: DataFrame | None = None, **retrieve_kw) -> DataFrame:
     """Per request: confident, reason, chunks, prompt-derived answer (or the refusal)
     and the cited pages."""
-    r = retrieve(requests, coll, cat, **retrieve_kw).persist(StorageLevel.MEMORY_AND_DISK)
+    r = kept(retrieve(requests, coll, cat, **retrieve_kw))
     prompts = answers.build_prompts(r, cat, history)
     answered = answers.answer_with(prompts, answer_udf)
     return answers.route_answers(r, answered)
