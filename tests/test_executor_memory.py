@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import ranges
 from quarry.operators import blocks, bm25, chunking, vector
 from quarry.plans import ingest, search
+from quarry.plans.conversation import session_prompts
 from quarry.session import shared_dir
 from quarry.sources.corpus import load_pages
 from quarry.sources.domains import catalog
@@ -70,3 +71,23 @@ def test_many_keys_go_to_parquet_in_short_lists(spark, tmp_path):
     got = blocks.Blocks(table, table).within(table, pd.DataFrame({"domain": "en", "hash": keys}), "hash")
     assert sorted(r.hash for r in got.collect()) == keys.tolist()
     assert str(blocks.one_of("hash", keys.tolist())._jc.toString()).count("in(hash") == blocks.KEYS // blocks.IN_KEYS
+
+
+def test_chunks_do_not_go_with_the_requests(spark):
+    """All chunks of a request went through the exchange by event id that gives it its history. Requests of one id have each
+    other's histories, those without an id none."""
+    cat = catalog(spark, CAT)
+    coll = search.build_collection(_chunks(spark).where("content is not null"))
+    rows = [(1, 1, False), (2, 2, False), (2, 3, False), (None, 4, False), (3, 5, True), (4, 6, False)]
+    requests = spark.createDataFrame(rows, "event_id long, s long, is_reset boolean").select(
+        "event_id", F.timestamp_seconds("s").alias("timestamp"), F.lit("s").alias("session_id"), F.lit("en").alias("domain"),
+        F.lit(7).cast("long").alias("question_id"), F.lit("to be").alias("question"), F.concat(F.lit("a"), "s").alias("answer"), "is_reset")
+    found = ranges.kept(search.retrieve(requests.limit(1).select("question_id", "domain", "question"), coll, cat, threshold=99.0))
+    p = session_prompts(requests, F.col("is_reset"), coll, cat, found=found)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter, (event_id" not in plan and "Window [collect_list" in plan
+    got = sorted((r.event_id or 0, r.answer, [m.content for m in r.prompt[1:-1]][1::2]) for r in p.collect())
+    assert got == [(0, "a4", []), (1, "a1", []), (2, "a2", ["a1"]), (2, "a2", ["a1", "a2"]), (2, "a3", ["a1"]), (2, "a3", ["a1", "a2"]),
+                   (4, "a6", [])]
+    assert all(r.prompt[0].role == "system" and "To be or not" in r.prompt[0].content and r.prompt[-1].content == "to be" for r in p.collect())
+    found.unpersist()
